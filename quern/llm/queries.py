@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pieces, together, tokens
+from quern.llm import mixing, packing, pieces, similar, together, tokens
 from quern.runtime import Stash, table
 
 #: Where the public tokenizers' files are; a parameter of the queries that use them.
@@ -42,6 +42,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_documents(table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = similar.similar_classes(table(spark, sf_dir, "documents"), 0.6, 3)
+    return similar.similar_pairs(members, links)
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_groups(*similar.similar_classes(table(spark, sf_dir, "documents"), 0.6, 3))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = together.tied_groups(table(spark, sf_dir, "train_qa"))
     return groups.where("n_records > 1").selectExpr("id AS train_id", "group_id")
@@ -80,7 +89,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p4_found, p4_pieces, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
@@ -92,6 +101,13 @@ SQL = {
             list_max(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: length(x))) AS line,
             list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) AS word FROM d)
         SELECT doc_id, CASE WHEN paragraph <= 4000 THEN 'paragraph' WHEN line <= 4000 THEN 'line' WHEN word <= 4000 THEN 'word' ELSE 'none' END AS boundary FROM w""",
+    "p5_found": r"""
+        WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT a AS doc_id_a, b AS doc_id_b FROM p WHERE c * 5 >= 3 * (na + nb - c)
+        UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id""",
     "p6_found": rf"""
         WITH RECURSIVE keys AS (
             SELECT id, 'a:' || lower(trim(metadata.author, {_BLANKS})) AS k FROM train_qa WHERE lower(trim(metadata.author, {_BLANKS})) NOT IN ('', 'unknown')
