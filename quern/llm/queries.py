@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pieces, similar, together, tokens
+from quern.llm import garbled, mixing, packing, pieces, similar, together, tokens
 from quern.runtime import Stash, table
 
 #: Where the public tokenizers' files are; a parameter of the queries that use them.
@@ -89,7 +89,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
