@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 BITS = 21
 """Counts of character pairs are kept in two tables of 2**BITS slots each, whatever the corpus; the lesser count holds."""
+CACHE = 400_000
 
 #: Character sets that texts are wrongly read in, and those that they may really have been in besides UTF-8. Fixed values.
 READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
@@ -22,7 +24,6 @@ _QUOTED = re.compile("[“”„\"«»‘’‹›'][^\\s“”„\"«»‘’
 _CLUSTER = re.compile(r"[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 LOST = "�"
-Edit = tuple[int, int, str]
 SURPRISE = math.log(1e-4)
 """A pair of characters rarer than this raises the score of a run, others lower it."""
 GAIN_UTF8, GAIN_CLUSTER, GAIN_TEXT = 0.5, 4.0, 7.0
@@ -91,14 +92,25 @@ class PairModel:
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
 
+        self.known: dict[str, float] = {}
+
     def pairs(self, pairs: np.ndarray) -> np.ndarray:
         one, two = _slots(pairs)
         return np.minimum(self.table[one], self.table[two])
 
     def text(self, text: str) -> float:
         """Sum over the adjacent pairs, of which each must have a character outside ASCII."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        return float(self.pairs((codes[:-1] << np.uint64(21)) | codes[1:]).sum())
+        total = 0.0
+        for k in range(len(text) - 1):
+            pair = text[k : k + 2]
+            value = self.known.get(pair)
+            if value is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                value = float(self.pairs(np.array([(ord(pair[0]) << 21) | ord(pair[1])], np.uint64))[0])
+                self.known[pair] = value
+            total += value
+        return total
 
 
 def pair_table(docs: DataFrame) -> np.ndarray:
@@ -156,57 +168,88 @@ def _depths(text: str, codec: str) -> Iterator[str]:
     yield text
 
 
-def _undo_utf8(text: str, clusters: list[tuple[int, int]], codec: str, model: PairModel, least: float) -> tuple[float, list[Edit]]:
-    """The gain and the edits of reading the clusters' stretches of UTF-8 as such."""
-    total, edits = 0.0, []
-    for a, b in clusters:
-        for i, j, original in _utf8_undone(text[a:b], codec):
-            x, y = text[max(0, a + i - 1) : a + i] or "\n", text[a + j : a + j + 1] or "\n"
-            before = model.text(x + text[a + i : a + j] + y) / (j - i + 1)
-            after, original = max((model.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
-            if after - before >= least:
-                edits.append((a + i, a + j, original))
-                total += (after - before) * (j - i)
-    return total, edits
-
-
-def _undo_swap(text: str, clusters: list[tuple[int, int]], codec: str, really: str, model: PairModel, least: float) -> tuple[float, list[Edit]]:
-    """The gain and the edits of reading the clusters in the set they were really in."""
-    total, edits = 0.0, []
-    for a, b in clusters:
-        run, known = text[a:b], _MAPS[codec]
-        if all(c in known for c in run):
-            original = "".join(_CHARS[really][known[c]] for c in run)
-            x, y = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
-            gain = model.text(x + original + y) - model.text(x + run + y) if original != run else 0.0
-            if gain >= least:
-                edits.append((a, b, original))
-                total += gain
-    return total, edits
-
-
-def repair(text: str, spans: list[tuple[int, int]], model: PairModel) -> tuple[str, str | None, int]:
-    """The text with its garbled stretches undone, the mapping found inside the spans, and how many characters are lost.
-
-    Once the spans prove a mapping, it is undone in the whole text.
+class Undoing:
+    """What each inverse mapping makes of a cluster of wide characters between its neighbours; remembered, for speed only."""
+
+    def __init__(self, model: PairModel) -> None:
+        self.model = model
+        self.known: dict[tuple[str, str, str], tuple[dict, dict]] = {}
+
+    def __call__(self, left: str, run: str, right: str) -> tuple[dict[str, list], dict[tuple[str, str], tuple[float, str]]]:
+        """UTF-8 by the set it was read in: (start, end, original, gain a pair); and swaps of sets: (gain, original)."""
+        found = self.known.get((left, run, right))
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[left, run, right] = self._utf8(left, run, right), self._swaps(left, run, right)
+        return found
+
+    def _utf8(self, left: str, run: str, right: str) -> dict[str, list]:
+        out: dict[str, list] = {}
+        for codec in READ_AS:
+            for i, j, original in _utf8_undone(run, codec):
+                x, y = (run[i - 1] if i else left), (run[j] if j < len(run) else right)
+                before = self.model.text(x + run[i:j] + y) / (j - i + 1)
+                after, original = max((self.model.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
+                out.setdefault(codec, []).append((i, j, original, after - before))
+        return out
+
+    def _swaps(self, left: str, run: str, right: str) -> dict[tuple[str, str], tuple[float, str]]:
+        out, before = {}, self.model.text(left + run + right)
+        for codec in READ_AS:
+            known = _MAPS[codec]
+            if all(c in known for c in run):
+                for really in REALLY:
+                    original = "".join(_CHARS[really][known[c]] for c in run)
+                    if really != codec and original != run:
+                        out[codec, really] = (self.model.text(left + original + right) - before, original)
+        return out
+
+
+def repair(text: str, spans: list[tuple[int, int]], undo: Undoing) -> tuple[str, str | None, int]:
+    """The text with its garbled stretches undone, the mappings found inside the spans, and how many characters are lost.
+
+    Once the spans prove a mapping, it is undone in the whole text, and what remains is searched for another one.
     """
+    text, mapping, lost = _repair(text, spans, undo)
+    used = [mapping] if mapping else []
+    while mapping and len(used) < len(READ_AS):
+        text, mapping, _ = _repair(text, [(0, len(text))], undo)
+        used += [mapping] if mapping else []
+    return text, ", ".join(used) or None, lost
+
+
+def _repair(text: str, spans: list[tuple[int, int]], undo: Undoing) -> tuple[str, str | None, int]:
+    """One mapping: the one that gains most."""
     quoted = [m.span() for m in _QUOTED.finditer(text)]
 
     def clusters(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
         found = (m.span() for a, b in parts for m in _CLUSTER.finditer(text, _back(text, a), _ahead(text, b)))
         return [c for c in dict.fromkeys(found) if not any(a < c[1] and c[0] < b for a, b in quoted)]
 
-    odd, everywhere = clusters(spans), clusters([(0, len(text))])
-    lost = sum(text.count(LOST, a, b) for a, b in odd)
+    def undone(a: int, b: int) -> tuple[dict[str, list], dict[tuple[str, str], tuple[float, str]]]:
+        return undo(text[max(0, a - 1) : a] or "\n", text[a:b], text[b : b + 1] or "\n")
+
+    odd, lost = clusters(spans), 0
+    read, swapped = Counter(), Counter()
+    for a, b in odd:
+        lost += text.count(LOST, a, b)
+        utf8, swaps = undone(a, b)
+        for codec, edits in utf8.items():
+            read[codec] += sum(gain * (j - i) for i, j, _, gain in edits if gain >= GAIN_UTF8)
+        for pair, (gain, _) in swaps.items():
+            if gain >= GAIN_CLUSTER:
+                swapped[pair] += gain
     mapping, edits = None, []
-    gain, codec = max((_undo_utf8(text, odd, codec, model, GAIN_UTF8)[0], codec) for codec in READ_AS)
-    if gain > 0:
-        mapping, edits = f"utf-8 as {codec}", _undo_utf8(text, everywhere, codec, model, -GAIN_UTF8)[1]
-    else:
-        pairs = [(codec, really) for codec in READ_AS for really in REALLY if codec != really]
-        gain, (codec, really) = max((_undo_swap(text, odd, *pair, model, GAIN_CLUSTER)[0], pair) for pair in pairs)
-        if gain >= GAIN_TEXT:
-            mapping, edits = f"{really} as {codec}", _undo_swap(text, everywhere, codec, really, model, 0.0)[1]
+    if read and (codec := max(read, key=lambda c: (read[c], c))) and read[codec] > 0:
+        mapping = f"utf-8 as {codec}"
+        for a, b in clusters([(0, len(text))]):
+            edits += [(a + i, a + j, original) for i, j, original, gain in undone(a, b)[0].get(codec, ()) if gain >= -GAIN_UTF8]
+    elif swapped and swapped[pair := max(swapped, key=lambda p: (swapped[p], p))] >= GAIN_TEXT:
+        mapping = f"{pair[1]} as {pair[0]}"
+        for a, b in clusters([(0, len(text))]):
+            gain, original = undone(a, b)[1].get(pair, (-1.0, ""))
+            edits += [(a, b, original)] if gain >= 0 else []
     for a, b, original in sorted(edits, reverse=True):
         text = text[:a] + original + text[b:]
     return text, mapping, lost
@@ -238,6 +281,7 @@ def garbled(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PairModel(table.value)
+        undo = Undoing(own)
         for batch in batches:
             ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             codes = _codes(texts)
@@ -249,7 +293,7 @@ def garbled(docs: DataFrame) -> DataFrame:
             for k in np.flatnonzero((odd > 0) & (first[:-1] < first[1:])).tolist():
                 part = slice(first[k], first[k + 1])
                 spans, size = runs(at[part] - starts[k], scores[part]), len(texts[k])
-                restored, mapping, lost = repair(texts[k], [(a, min(b, size)) for a, b in spans if a < size], own)
+                restored, mapping, lost = repair(texts[k], [(a, min(b, size)) for a, b in spans if a < size], undo)
                 if mapping or lost:
                     rows.append((ids[k], mapping, lost, restored))
             columns = list(zip(*rows)) or [[]] * 4
