@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import garbled, mixing, packing, pieces, similar, together, tokens
+from quern.llm import defects, garbled, mixing, packing, pieces, similar, together, tokens
 from quern.runtime import Stash, table
 
 #: Where the public tokenizers' files are; a parameter of the queries that use them.
@@ -34,6 +34,15 @@ def p1_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"), _lab(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sft, train_qa = table(spark, sf_dir, "sft"), table(spark, sf_dir, "train_qa")
+    return defects.defects(defects.sft_pairs(sft).unionByName(defects.qa_pairs(train_qa)))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_found(spark, sf_dir).groupBy("tbl", "defect").count().withColumnRenamed("count", "n_records")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.boundaries(pieces.split_documents(table(spark, sf_dir, "documents")))
 
@@ -97,7 +106,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
