@@ -68,6 +68,7 @@ _fence = re.compile(r"```.*?(?:```|$)", re.S)
 _citations = re.compile(r"(?:\s*\[Document \d+\])+\s*$")
 _item = re.compile(r"^[ \t]*(?:[-*•+]|\d+[.)])[ \t]+(.*)$")
 _ended = re.compile(r"[.!?。！？:;][\"'”’»)\]]*$")
+_broken_off = re.compile(r"(?:\.\.|…|\[(?:\.{2,}|…)\])$|\n[ \t]*(?:[-*•+]|\d+[.)])$")
 _sentence_ends = re.compile(r"[.!?…][\"'”’»)\]]*\s")
 MAX_PHRASE = 6
 PHRASE_SHARE = 0.02
@@ -177,7 +178,7 @@ def ending(answer: str) -> tuple[str, str]:
     if re.search(r"\([^()]*\)$", text) and (rest := text[: text.rfind("(")].rstrip()) and _ended.search(rest):
         return "whole", ""
     low = text.lower()
-    if low.endswith(OPEN_ENDS) or re.search(r"(?:\.\.\.|…)$", text):
+    if low.endswith(OPEN_ENDS) or _broken_off.search(text):
         return "cut", ""
     if re.search(r"[.!?。！？][\"'”’»)\]]*$", text):
         return "whole", ""
