@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import defects, garbled, mixing, packing, pieces, similar, together, tokens
+from quern.llm import defects, garbled, mixing, overlaps, packing, pieces, similar, together, tokens
 from quern.runtime import Stash, table
 
 #: Where the public tokenizers' files are; a parameter of the queries that use them.
@@ -34,6 +34,18 @@ def p1_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"), _lab(spark, sf_dir))
 
 
+def p2_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.split_overlaps(table(spark, sf_dir, "eval"), table(spark, sf_dir, "train_qa"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_overlaps(spark, sf_dir).select("eval_id", "train_id")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlap_report(p2_overlaps(spark, sf_dir), table(spark, sf_dir, "eval"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sft, train_qa = table(spark, sf_dir, "sft"), table(spark, sf_dir, "train_qa")
     return defects.defects(defects.sft_pairs(sft).unionByName(defects.qa_pairs(train_qa)))
@@ -106,11 +118,18 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
 SQL = {
+    "p2_found": r"""
+        WITH n AS (SELECT DISTINCT 'e' AS side, id, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS q FROM eval WHERE question IS NOT NULL
+                   UNION SELECT DISTINCT 't', id, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') FROM train_qa WHERE question IS NOT NULL),
+        g AS (SELECT side, id, list_distinct(list_transform(range(1, length(q) - 1), lambda i: q[i:i + 2])) AS g FROM n WHERE length(q) >= 3),
+        x AS (SELECT side, id, len(g) AS k, unnest(g) AS t FROM g),
+        p AS (SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.side = 'e' AND b.side = 't' GROUP BY ALL)
+        SELECT DISTINCT a AS eval_id, b AS train_id FROM p WHERE c * 4 >= 3 * (ka + kb - c)""",
     "p4_found": r"""
         WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 4000),
         w AS (SELECT doc_id,
