@@ -22,15 +22,15 @@ from quern.llm.shingles import Shingler
 from quern.operators.components import connected_components
 from quern.runtime import Stash, join_unique
 
-MIN_BITS, MAX_BITS = 12, 25
-REDUCERS = 16
+MIN_BITS, MAX_BITS = 12, 24
+REDUCE = 32
 HOT_LIST = 4000
 """An inverted list longer than this is cut into chunks, and each pair of chunks is joined on its own."""
 
 
 def table_bits(elements: int) -> int:
-    """Size of the frequency table, as a power of two: twice the elements, within fixed bounds (at most 32 MB as bytes)."""
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, 2 * elements)))))
+    """Size of the frequency table, as a power of two: about the elements, within fixed bounds (at most 16 MB as bytes)."""
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, elements)))))
 
 
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
@@ -39,32 +39,29 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shingler, hits = Shingler(width), np.zeros(1 << bits, np.uint16)
-        names, shift = ["doc_id", "digest", "n", "src", "counts"], np.uint64(64 - bits)
+        shingler, hits = Shingler(width), np.zeros(1 << bits, np.uint32)
+        names, shift, one = ["doc_id", "digest", "n", "src", "counts"], np.uint64(64 - bits), np.uint32(1)
         for batch in batches:
-            digests, sizes, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingler(text)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes() if len(s) else "\0" + text))
-                sizes.append(len(s))
-                found.append(s)
-            slots, n = np.unique(np.concatenate(found) >> shift, return_counts=True) if found else ([], [])
-            if len(slots):
-                slots = slots.astype(np.int64)
-                hits[slots] = np.minimum(hits[slots] + np.minimum(n, 65535), 65535)
+            texts = batch.column("text").to_pylist()
+            digests, sizes = [], []
+            for first, hashes, bounds in shingler.chunks(texts):
+                np.add.at(hits, (hashes >> shift).astype(np.int64), one)
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    digests.append(xxhash.xxh3_128_digest(hashes[a:b] if b > a else "\0" + texts[first + k]))
+                    sizes.append(b - a)
             size = len(digests)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
-        packed = zstandard.ZstdCompressor(1).compress(hits.tobytes())
+        packed = zstandard.ZstdCompressor(3).compress(np.minimum(hits, 65535).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([packed], pa.binary())], names)
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
     return texts.mapInArrow(scan, "doc_id bigint, digest binary, n int, src int, counts binary")
 
 
-def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
+def _ranks(scanned: DataFrame, bits: int, stash: Stash) -> np.ndarray:
     """The table of element frequencies, as bytes: 0 for at most one occurrence, else 8 * log2 of the count.
 
-    The partitions' tables are summed in a tree until REDUCERS are left, which the driver sums; the size is fixed.
+    The partitions' tables, whose size is fixed, are summed in a tree until REDUCE are left, which the driver sums.
     """
     parts = scanned.where("counts is not null").select("src", "counts")
 
@@ -72,18 +69,29 @@ def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
         hits = np.zeros(1 << bits, np.uint32)
         for packed in rows.column("counts").to_pylist():
             hits += np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, 2 << bits), np.uint16)
-        packed = zstandard.ZstdCompressor(1).compress(np.minimum(hits, 65535).astype(np.uint16).tobytes())
+        packed = zstandard.ZstdCompressor(3).compress(np.minimum(hits, 65535).astype(np.uint16).tobytes())
         return pa.table({"src": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
-    for groups in (REDUCERS * REDUCERS, REDUCERS):
-        parts = parts.select((F.col("src") % groups).cast("int").alias("src"), "counts")
-        parts = parts.groupBy("src").applyInArrow(total, "src int, counts binary")
+    left = (parts.agg(F.max("src")).first()[0] or 0) + 1
+    while left > REDUCE:
+        parts = parts.select(F.floor(F.col("src") / REDUCE).cast("int").alias("src"), "counts")
+        parts = stash.put(parts.groupBy("src").applyInArrow(total, "src int, counts binary"))
+        left = -(-left // REDUCE)
     hits = np.zeros(1 << bits, np.uint32)
     for row in parts.select("counts").toLocalIterator():
         hits += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row[0]), 2 << bits), np.uint16)
     return np.where(hits > 1, np.rint(8 * np.log2(np.maximum(hits, 2))), 0).astype(np.uint8)
 
 
+def _sets(batch: pa.RecordBatch, shingler: Shingler, of=lambda h: h) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(doc_id, set, what ``of`` gives for its elements) of every text of a batch."""
+    ids = batch.column("doc_id").to_pylist()
+    for first, hashes, bounds in shingler.chunks(batch.column("text").to_pylist()):
+        values = of(hashes)
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            yield ids[first + k], hashes[a:b], values[a:b]
+
+
 def _postings(texts: DataFrame, width: int, bits: int, ranks, least: Fraction) -> DataFrame:
     """(key, doc_id, n, pos): the first elements of each set, rarest first, that can decide on the similarity.
 
@@ -95,12 +103,10 @@ def _postings(texts: DataFrame, width: int, bits: int, ranks, least: Fraction) -
         shingler, table, shift = Shingler(width), ranks.value, np.uint64(64 - bits)
         for batch in batches:
             keys, ids, sizes, places = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                s = shingler(text)
-                n = len(s)
+            for doc_id, s, ranked in _sets(batch, shingler, lambda h: table[(h >> shift).astype(np.int64)]):
+                n, rank = len(s), ranked
                 if not n:
                     continue
-                rank = table[(s >> shift).astype(np.int64)]
                 first = n - (-(-n * num // den)) + 1
                 order = np.argsort(rank, kind="stable")[:first]  # ties by hash, as s is sorted
                 pos = np.flatnonzero(rank[order])
@@ -179,7 +185,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, least: Fraction) -> D
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for _, s, _ in _sets(batch, shingler)], pa.binary())], ["doc_id", "elements"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +232,7 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     total = classes.agg(F.sum("n_rows")).first()[0] or 0
     members = stash.put(join_unique(sets, classes, "digest", total).select("doc_id", "rep"))
     copies = stash.put(members.where("doc_id <> rep").select("doc_id"))
-    ranks = spark.sparkContext.broadcast(_ranks(scanned, bits))
+    ranks = spark.sparkContext.broadcast(_ranks(scanned, bits, stash))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
     texts = texts.join(copies, "doc_id", "left_anti")
     pairs = stash.put(_candidates(_postings(texts, width, bits, ranks, least), least))
