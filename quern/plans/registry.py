@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import references
+from quern.plans import answers, references, results, retrieval, training
 
-MODULES = (references,)
+MODULES = (retrieval, answers, training, results, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
