@@ -47,7 +47,7 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 def references(listed: Column, single: Column) -> Column:
     """The reference answers: the listed ones, trimmed, non-blank and distinct, else the single one unless it is empty."""
-    clean = F.array_distinct(F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     one = F.when(F.coalesce(single, F.lit("")) != "", F.array(single)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(clean) > 0, clean).otherwise(one)
 

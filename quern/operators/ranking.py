@@ -5,7 +5,9 @@ All queries are ranked in one plan; rank 1 is best and ties go by the position o
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.runtime import Stash, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+_words = re.compile(r"\w+")
 
 
 class Retriever(ABC):
@@ -44,29 +48,48 @@ class BM25(Retriever):
         self.lowercase = lowercase
 
     def index(self, documents: DataFrame) -> BM25:
-        words = documents.select("id", "pos", F.coalesce(tokens(F.col("text"), self.lowercase), F.array().cast("array<string>")).alias("words"))
-        self.documents = words.select("id", "pos", F.size("words").alias("dl"))
-        counted = words.select("id", "pos", F.size("words").alias("dl"), F.explode("words").alias("term"))
-        self.counts = counted.groupBy("id", "pos", "dl", "term").agg(F.count("*").alias("tf"))
-        self.stats = self.documents.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        """Count the terms of each document in one narrow pass, and keep the counts as a table for all later plans."""
+        stash = Stash(documents.sparkSession)
+        kind, lower = documents.schema["id"].dataType, self.lowercase
+
+        def count(batches):
+            for batch in batches:
+                ids, pos, lengths, terms, times = [], [], [], [], []
+                for id_, at, text in zip(*(batch.column(c).to_pylist() for c in ("id", "pos", "text"))):
+                    words = _words.findall((text.lower() if lower else text) if text else "")
+                    found = Counter(words) or {None: 0}  # a document without words keeps a row
+                    ids += [id_] * len(found)
+                    pos += [at] * len(found)
+                    lengths += [len(words)] * len(found)
+                    terms += found
+                    times += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(pos, pa.int64()), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(times, pa.int32())], ["id", "pos", "dl", "term", "tf"])
+
+        schema = f"id {kind.simpleString()}, pos bigint, dl int, term string, tf int"
+        rows = stash.put(spread(documents.select("id", F.col("pos").cast("bigint").alias("pos"), "text")).mapInArrow(count, schema))
+        self.counts = rows.where("term is not null")
+        self.documents = rows.select("id", "pos", "dl").distinct()
+        weights = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))  # sums to 1 for each document
+        self.stats = rows.agg(F.round(F.sum(weights)).cast("bigint").alias("n_docs"), F.sum("tf").alias("n_words")).select("n_docs", (F.col("n_words") / F.col("n_docs")).alias("avgdl"))
+        size = self.stats.first()
+        n_docs, self.avgdl, self.stash = size["n_docs"] or 0, size["avgdl"] or 1.0, stash
         df = self.counts.groupBy("term").agg(F.count("*").alias("df"))
-        raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        idf = df.crossJoin(F.broadcast(self.stats)).withColumn("raw", raw)  # stats is one row
-        mean = idf.agg(F.avg("raw").alias("mean"))
-        self.terms = idf.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw")).first()[0]
+        self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
         return self
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, pos, score) of the documents that share a term with the query; repeated terms count again."""
         asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("question"), self.lowercase)).alias("term"))
         asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self.terms, "term")
-        found = self.counts.join(asked, "term").crossJoin(F.broadcast(self.stats))
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        found = self.counts.join(asked, "term")
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         return found.groupBy("query_id", F.col("id").alias("doc_id"), "pos").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
     def rank(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Documents without a common term score 0 and fill up in their order, as far as a query has fewer than k better ones."""
-        positive = top_k(self.scores(queries).where(F.round("score", 9) > 0), k)
+        positive = self.stash.put(top_k(self.scores(queries).where(F.round("score", 9) > 0), k))
         short = queries.select(F.col("id").alias("query_id")).distinct().join(positive.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
         first = self.documents.orderBy("pos").limit(2 * k).select(F.col("id").alias("doc_id"), "pos")  # enough, as fewer than k are taken
         filled = short.crossJoin(F.broadcast(first)).join(positive, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
