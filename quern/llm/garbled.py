@@ -121,7 +121,7 @@ def pair_table(docs: DataFrame) -> np.ndarray:
             total = n
         else:
             counts[slot] = n
-    return np.log((counts + 0.3) / total).astype(np.float32)
+    return np.log((counts + 0.3) / max(1, total)).astype(np.float32)
 
 
 def runs(positions: np.ndarray, scores: np.ndarray, cost: float = 2.0) -> list[tuple[int, int]]:
