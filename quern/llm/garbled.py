@@ -245,16 +245,35 @@ def _repair(text: str, spans: list[tuple[int, int]], undo: Undoing) -> tuple[str
         mapping = f"utf-8 as {codec}"
         for a, b in clusters([(0, len(text))]):
             edits += [(a + i, a + j, original) for i, j, original, gain in undone(a, b)[0].get(codec, ()) if gain >= -GAIN_UTF8]
-    elif swapped and swapped[pair := max(swapped, key=lambda p: (swapped[p], p))] >= GAIN_TEXT:
-        mapping = f"{pair[1]} as {pair[0]}"
-        for a, b in clusters([(0, len(text))]):
-            gain, original = undone(a, b)[1].get(pair, (-1.0, ""))
-            edits += [(a, b, original)] if gain >= 0 else []
+    else:
+        for pair in sorted(swapped, key=lambda p: (-swapped[p], p)):
+            if swapped[pair] < GAIN_TEXT:
+                break
+            found = [(a, b, *undone(a, b)[1].get(pair, (-1.0, ""))) for a, b in clusters([(0, len(text))])]
+            edits = _consistent(text, found)
+            if edits:
+                mapping = f"{pair[1]} as {pair[0]}"
+                break
     for a, b, original in sorted(edits, reverse=True):
         text = text[:a] + original + text[b:]
     return text, mapping, lost
 
 
+def _consistent(text: str, found: list[tuple[int, int, float, str]]) -> list[tuple[int, int, str]]:
+    """The edits of a swap of sets, from all clusters (start, end, gain, original) of a text; none if they prove too little.
+
+    A character read wrongly is wrong throughout: one that mostly stands where it belongs, and once doesn't, is a slip
+    of the writer, and no evidence.
+    """
+    balance: Counter[str] = Counter()
+    for a, b, gain, _ in found:
+        for c in set(text[a:b]):
+            balance[c] += 1 if gain > 0 else -1
+    good = [(a, b, gain, original) for a, b, gain, original in found if gain >= 0 and all(balance[c] > 0 for c in text[a:b])]
+    proof = sum(gain for _, _, gain, _ in good if gain >= GAIN_CLUSTER)
+    return [(a, b, original) for a, b, _, original in good] if proof >= GAIN_TEXT else []
+
+
 def _back(text: str, at: int) -> int:
     while at > 0 and text[at] > "\x7f" and text[at - 1] > "\x7f":
         at -= 1
