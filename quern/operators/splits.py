@@ -31,13 +31,16 @@ def target_rows(n: int, ratio: float, groups: int) -> int:
 def question_groups(records: DataFrame, fields: tuple[str, ...] = (), by_document: bool = False) -> DataFrame:
     """(id, group): the records tied by question, by the values of the fields, and, if asked, by relevant documents.
 
-    Questions are compared in their folded form; null and empty values tie nothing. The group is its least id.
+    Questions are compared in their folded form; a field may be dotted and hold a value or a list of values; null and
+    empty values tie nothing. The group is its least id.
     """
     stash = Stash(records.sparkSession)
     keys = [F.when(question_key(F.col("question")) != "", F.concat(F.lit("question="), question_key(F.col("question"))))]
-    keys += [F.when(F.col(f).cast("string") != "", F.concat(F.lit(f"{f}="), F.col(f).cast("string"))) for f in fields]
+    values = {f: F.col(f) if records.select(f).schema[0].dataType.typeName() == "array" else F.array(F.col(f)) for f in fields}
+    tag = lambda f, v: F.transform(F.filter(v.cast("array<string>"), lambda x: x != ""), lambda x: F.concat(F.lit(f"{f}="), x))
+    named = [tag(f, v) for f, v in values.items()]
     listed = F.transform(clean_ids(F.col("relevant_doc_ids")), lambda x: F.concat(F.lit("document="), x)) if by_document else F.array().cast("array<string>")
-    tokens = records.select("id", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*keys)), listed))).alias("token"))
+    tokens = records.select("id", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*keys)), listed, *(F.coalesce(n, F.array().cast("array<string>")) for n in named)))).alias("token"))
     tokens = stash.put(tokens.select("id", F.sha2("token", 256).alias("token")))
     least = stash.put(tokens.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("n_rows")))
     total = least.agg(F.sum("n_rows")).first()[0] or 0
@@ -111,6 +114,24 @@ def source_fingerprints(records: DataFrame, answer: str) -> DataFrame:
     return records.select("id", F.sha2(parts, 256).alias("fingerprint"))
 
 
+def row_fingerprints(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(id, fingerprint) over all of a row's fields, as JSON with sorted keys; null fields count, their order doesn't."""
+    import hashlib
+    import json
+
+    import pyarrow as pa
+
+    kind, names = rows.schema[key].dataType.simpleString(), sorted(rows.columns)
+
+    def canonical(batches):
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in names}
+            prints = [hashlib.sha256(json.dumps(dict(zip(names, values)), sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest() for values in zip(*columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(prints, pa.string())], ["id", "fingerprint"])
+
+    return rows.mapInArrow(canonical, f"id {kind}, fingerprint string")
+
+
 def table_fingerprint(fingerprints: DataFrame) -> DataFrame:
     """One row (fingerprint, n): of the rows' fingerprints in the order of their ids, taken by blocks so no task holds all.
 

@@ -92,6 +92,11 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.table_fingerprint(source_fingerprint(spark, sf_dir))
 
 
+def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = examples(spark, sf_dir, "sft").select("id", "instruction", "input", "output")
+    return splits.row_fingerprints(rows)
+
+
 def _blank(column: str) -> str:
     return f"coalesce(trim({column}, {BLANKS}), '') = ''"
 
@@ -113,7 +118,7 @@ a AS (SELECT g.id, g."group", CASE WHEN before < greatest(1, round_even((SELECT
 _ROWS = f'{TRAIN}, g AS (SELECT id, id AS "group" FROM tr)'
 _PRINTS = f"""{EVAL}, f AS (SELECT id, sha256(concat_ws(chr(31), id, coalesce({_KEY}, ''), coalesce(reference_answer, ''))) AS fingerprint FROM ev)"""
 
-QUERIES = {f.__name__: f for f in (id_uniqueness, record_violations, referential_check, split_overlap, evidence_merge, raft_invariant, connected_groups, row_split, group_split, document_pools, partition_audit, source_fingerprint, table_fingerprint)}
+QUERIES = {f.__name__: f for f in (id_uniqueness, record_violations, referential_check, split_overlap, evidence_merge, raft_invariant, connected_groups, row_split, group_split, document_pools, partition_audit, source_fingerprint, table_fingerprint, row_fingerprint)}
 SQL = {
     "id_uniqueness": " UNION ALL ".join(f"SELECT '{t}' AS tbl, id, count(*) AS n FROM {t} GROUP BY id HAVING count(*) > 1" for t in ("documents", "train_qa", "eval", "sft")),
     "record_violations": f"""SELECT 'documents' AS tbl, id, 'blank_id' AS rule FROM documents WHERE {_blank('id')} UNION ALL SELECT 'documents', id, 'blank_text' FROM documents WHERE {_blank('text')}

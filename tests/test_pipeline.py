@@ -223,3 +223,34 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["prepare-splits", "--qa", asked, "--ratio", "0.5", "--train-output", str(tmp_path / "t"), "--validation-output", str(tmp_path / "v")])
     assert json.loads(capsys.readouterr().out)["validation_rows"] == 3
     assert cli.main(["plan"]) == 0 and len(json.loads(capsys.readouterr().out)) == 4
+
+
+def test_chat_servers(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quern.sources import http
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = json.dumps({"correctness": 1, "groundedness": 0.5, "unsupported_claim_rate": 0}) if "response_format" in body else "42" * (10_000 if "much" in body["messages"][-1]["content"] else 1)
+            self.send_response(200)
+            self.end_headers()
+            for part in (said[:3], said[3:]):
+                self.wfile.write(("data: " + json.dumps({"choices": [{"delta": {"content": part}}]}) + "\n\n").encode())
+            self.wfile.write(b"data: [DONE]\n\n")
+
+        def log_message(self, *args): ...
+
+    server = HTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    try:
+        assert http.generator(url, "m")()("what", ["one"]) == "42"
+        assert scoring.checked_scores(http.judge(url, "m")(http.judge_prompt("q", "a", [], []))) == {"correctness": 1.0, "groundedness": 0.5, "unsupported_claim_rate": 0.0}
+        with pytest.raises(ValueError, match="too large"):
+            http.complete(url, {"model": "m", "messages": [{"role": "user", "content": "much"}]}, max_bytes=1000)
+    finally:
+        server.shutdown()
+    assert http.parse_object('so {"a": 1}.') == {"a": 1}

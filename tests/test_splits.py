@@ -129,3 +129,11 @@ def test_raft_rules(spark, contexts, evidence, problems):
 
     row = spark.createDataFrame([(contexts, evidence)], "c array<struct<doc_id:string,relevant:boolean>>, e array<string>")
     assert row.select(records.raft_problems(F.col("c"), F.col("e"))).first()[0] == problems
+
+
+def test_grouping_by_fields_and_row_fingerprints(spark):
+    rows = spark.createDataFrame([("a", "1", None, (["x", "y"], "t1")), ("b", "2", None, (["y"], None)), ("c", "3", None, (None, "t1")), ("d", "4", None, ([""], ""))], "id string, question string, relevant_doc_ids array<string>, meta struct<tags:array<string>,thread:string>")
+    got = {r["id"]: r["group"] for r in splits.question_groups(rows, ("meta.tags", "meta.thread")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    one = {r["id"]: r["fingerprint"] for r in splits.row_fingerprints(rows.select("id", "question")).collect()}
+    assert one == {r["id"]: r["fingerprint"] for r in splits.row_fingerprints(rows.select("question", "id")).collect()} and len(set(one.values())) == 4
