@@ -32,6 +32,11 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return rows.withColumn("passes", F.least(F.col("max_repeats"), need).cast("int")), total_tokens
 
 
+def _shuffled(seed: int) -> F.Column:
+    """A uniform number of 63 bits for each copy, the same in Spark and SQL."""
+    return F.shiftleft(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "copy", "doc_id"), 256), 1, 15), 16, 10).cast("bigint"), 3)
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mix (source, doc_id, copy, n_tokens, finish), sorted, and its report, one row for each target source.
 
@@ -46,7 +51,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     sources, budget = plan(usable, targets, total_tokens)
     sources = stash.put(sources)
     passes = sources.where("passes > 0").select("source", "weight", F.posexplode(F.sequence(F.lit(1), "passes")).alias("at", "copy"), F.col("n_tokens").alias("_all"))
-    copies = usable.join(passes, "source").withColumn("_queue", F.concat_ws("\n", "source", "copy")).withColumn("_order", F.xxhash64(F.lit(seed), "copy", "doc_id"))
+    copies = usable.join(passes, "source").withColumn("_queue", F.concat_ws("\n", "source", "copy")).withColumn("_order", _shuffled(seed))
     timed = running_total(copies, "_queue", "_order", "n_tokens", "doc_id", "_sent")
     time = (F.col("_sent") + F.col("at").cast("bigint") * F.col("_all")) / F.col("weight")
     timed = stash.put(timed.select("source", "doc_id", "copy", "n_tokens", time.alias("finish")).where(F.col("finish").isNotNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import defects, garbled, mixing, overlaps, packing, pieces, similar, together, tokens
 from quern.runtime import Stash, table
@@ -103,7 +104,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[0]
+    return _mix(spark, sf_dir)[0].withColumn("finish", F.round("finish", 3))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +123,67 @@ QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_docu
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
-SQL = {
-    "p2_found": r"""
-        WITH n AS (SELECT DISTINCT 'e' AS side, id, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS q FROM eval WHERE question IS NOT NULL
+#: Longest pieces first, then any character that isn't blank: what the tokenizer's rule comes to, as no piece holds others than letters.
+_TOKENS = r"""tok AS (SELECT doc_id, text, source, lang, metadata, len(regexp_extract_all(lower(coalesce(text, '')),
+    (SELECT string_agg(piece, '|' ORDER BY length(piece) DESC, piece) || '|(?s:[^ \t\r\n\x{a0}])' FROM tokenizer_vocab))) AS n FROM documents)"""
+
+
+def _label(column: str) -> str:
+    text = f"trim(regexp_replace(lower({column}), '[\\s\\x{{a0}}\\x{{200b}}_./\\\\-]+', '-', 'g'), '-')"
+    return f"CASE WHEN coalesce({text}, '') = '' THEN '(none)' ELSE {text} END"
+
+
+_SLICED = f"""{_TOKENS}, sl AS (SELECT doc_id, text, n, CASE WHEN {_label('metadata.source')} = '(none)' THEN {_label('source')} ELSE {_label('metadata.source')} END AS source,
+    {_label('lang')} AS lang, {_label('metadata.topic')} AS topic FROM tok)"""
+
+_PAIRS = r"""w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        pairs AS (SELECT a, b, c = na AND c = nb AS same FROM p WHERE c * 5 >= 3 * (na + nb - c) UNION SELECT x.doc_id, y.doc_id, TRUE FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id)"""
+
+_GROUPS = rf"""keys AS (
+            SELECT id, 'a:' || lower(trim(metadata.author, {_BLANKS})) AS k FROM train_qa WHERE lower(trim(metadata.author, {_BLANKS})) NOT IN ('', 'unknown')
+            UNION SELECT id, 'q:' || trim(regexp_replace(lower(question), '[ \t\r\n]+', ' ', 'g'), ' ') FROM train_qa WHERE trim(question, {_BLANKS}) <> ''
+            UNION SELECT id, 'd:' || r FROM (SELECT id, trim(unnest(relevant_doc_ids), {_BLANKS}) AS r FROM train_qa) WHERE r <> ''),
+        ties AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS least FROM keys),
+        edges AS (SELECT id AS a, least AS b FROM ties WHERE id <> least UNION SELECT least, id FROM ties WHERE id <> least),
+        reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+        grp AS (SELECT node AS train_id, min(root) AS group_id FROM reach GROUP BY node)"""
+_ASSIGNED = """ids AS (SELECT DISTINCT t.id, coalesce(g.group_id, t.id) AS group_id FROM train_qa t LEFT JOIN grp g ON g.train_id = t.id WHERE t.id IS NOT NULL),
+        rng AS (SELECT split, sum(share) OVER (ORDER BY split) / sum(share) OVER () AS high FROM split_targets WHERE share > 0),
+        pt AS (SELECT id, group_id, CAST('0x' || substr(sha256(concat_ws(':', '42', group_id)), 1, 13) AS BIGINT) / 4503599627370496.0 AS p FROM ids),
+        asg AS (SELECT id, group_id, coalesce(min_by(split, high), (SELECT max_by(split, high) FROM rng)) AS split FROM pt LEFT JOIN rng ON p < high GROUP BY id, group_id)"""
+
+_OVERLAPS = r"""n AS (SELECT DISTINCT 'e' AS side, id, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS q FROM eval WHERE question IS NOT NULL
                    UNION SELECT DISTINCT 't', id, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') FROM train_qa WHERE question IS NOT NULL),
         g AS (SELECT side, id, list_distinct(list_transform(range(1, length(q) - 1), lambda i: q[i:i + 2])) AS g FROM n WHERE length(q) >= 3),
         x AS (SELECT side, id, len(g) AS k, unnest(g) AS t FROM g),
-        p AS (SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.side = 'e' AND b.side = 't' GROUP BY ALL)
-        SELECT DISTINCT a AS eval_id, b AS train_id FROM p WHERE c * 4 >= 3 * (ka + kb - c)""",
+        p AS (SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.side = 'e' AND b.side = 't' GROUP BY ALL)"""
+_MIX = f"""{_SLICED},
+        sz AS (SELECT doc_id, source, n FROM sl WHERE n > 0),
+        tg AS (SELECT {_label('source')} AS source, sum(target_share) AS share, max(max_repeats) AS reps FROM mix_targets GROUP BY 1),
+        hv AS (SELECT tg.*, coalesce(h.n, 0) AS n FROM tg LEFT JOIN (SELECT source, sum(n) AS n FROM sz GROUP BY source) h ON h.source = tg.source),
+        wt AS (SELECT *, CASE WHEN n > 0 AND share > 0 AND reps > 0 THEN share / sum(share) FILTER (n > 0 AND share > 0 AND reps > 0) OVER () END AS w FROM hv),
+        bu AS (SELECT floor(min(n * reps / w)) AS budget FROM wt),
+        ps AS (SELECT source, w, n AS total, unnest(range(1, CAST(least(reps, ceil(budget * w / n) + 1) AS BIGINT) + 1)) AS copy FROM wt, bu WHERE w IS NOT NULL),
+        cp AS (SELECT sz.doc_id, sz.source, sz.n, ps.copy, ps.w, ps.total, CAST('0x' || substr(sha256(concat_ws(':', '42', ps.copy, sz.doc_id)), 1, 15) AS BIGINT) AS h FROM sz JOIN ps ON ps.source = sz.source),
+        fi AS (SELECT *, (sum(n) OVER (PARTITION BY source, copy ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) + (copy - 1) * total) / w AS finish FROM cp),
+        ru AS (SELECT *, sum(n) OVER (ORDER BY finish, source, doc_id, copy ROWS UNBOUNDED PRECEDING) AS run FROM fi),
+        mx AS (SELECT source, doc_id, copy, n, finish FROM ru, bu WHERE run <= budget)"""
+
+SQL = {
+    "p9_mix": f"WITH {_MIX} SELECT source, doc_id, copy, n AS n_tokens, round(finish, 3) AS finish FROM mx",
+    "p9_shares": f"""WITH {_MIX}, us AS (SELECT source, sum(n) AS n, count(DISTINCT doc_id) AS d, max(copy) AS c FROM mx GROUP BY source)
+        SELECT wt.source, wt.share AS target_share, coalesce(round(us.n / (SELECT sum(n) FROM us), 6), 0.0::DOUBLE) AS reached_share, CAST(coalesce(us.n, 0) AS BIGINT) AS n_tokens, coalesce(us.d, 0) AS n_docs, coalesce(us.c, 0) AS most_copies FROM wt LEFT JOIN us ON us.source = wt.source""",
+    "p2_report": f"""WITH {_OVERLAPS}, f AS (SELECT a AS id, count(DISTINCT b) AS n, max(c = ka AND c = kb) AS same FROM p WHERE c * 4 >= 3 * (ka + kb - c) GROUP BY a),
+        o AS (SELECT id, min(metadata.split) AS split, min(metadata.source) AS source FROM eval WHERE id IS NOT NULL GROUP BY id)
+        SELECT o.split, o.source, count(*) AS n_records, count(f.n) AS n_overlapping, count(*) FILTER (f.same) AS n_exact, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_pairs FROM o LEFT JOIN f ON f.id = o.id GROUP BY o.split, o.source""",
+    "p1_slice_tokens": f"""WITH {_SLICED}, d AS (SELECT source, lang, topic, coalesce(text, '') AS t, count(*) AS c, min(n) AS n FROM sl GROUP BY ALL)
+        SELECT source, lang, topic, CAST(sum(c) AS BIGINT) AS n_docs, count(*) AS n_texts, CAST(sum(c * n) AS BIGINT) AS n_tokens, CAST(sum(n) AS BIGINT) AS n_distinct_tokens FROM d GROUP BY ALL""",
+    "p1_document_tokens": f"WITH {_SLICED} SELECT doc_id, source, lang, topic, n AS n_tokens FROM sl",
+    "p8_found": f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE n > 1024",
+    "p2_found": f"WITH {_OVERLAPS} SELECT DISTINCT a AS eval_id, b AS train_id FROM p WHERE c * 4 >= 3 * (ka + kb - c)",
     "p4_found": r"""
         WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 4000),
         w AS (SELECT doc_id,
@@ -137,20 +191,15 @@ SQL = {
             list_max(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: length(x))) AS line,
             list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) AS word FROM d)
         SELECT doc_id, CASE WHEN paragraph <= 4000 THEN 'paragraph' WHEN line <= 4000 THEN 'line' WHEN word <= 4000 THEN 'word' ELSE 'none' END AS boundary FROM w""",
-    "p5_found": r"""
-        WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-        s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w),
-        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-        SELECT a AS doc_id_a, b AS doc_id_b FROM p WHERE c * 5 >= 3 * (na + nb - c)
-        UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id""",
-    "p6_found": rf"""
-        WITH RECURSIVE keys AS (
-            SELECT id, 'a:' || lower(trim(metadata.author, {_BLANKS})) AS k FROM train_qa WHERE lower(trim(metadata.author, {_BLANKS})) NOT IN ('', 'unknown')
-            UNION SELECT id, 'q:' || trim(regexp_replace(lower(question), '[ \t\r\n]+', ' ', 'g'), ' ') FROM train_qa WHERE trim(question, {_BLANKS}) <> ''
-            UNION SELECT id, 'd:' || r FROM (SELECT id, trim(unnest(relevant_doc_ids), {_BLANKS}) AS r FROM train_qa) WHERE r <> ''),
-        ties AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY k) AS least FROM keys),
-        edges AS (SELECT id AS a, least AS b FROM ties WHERE id <> least UNION SELECT least, id FROM ties WHERE id <> least),
-        reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node)
-        SELECT node AS train_id, min(root) AS group_id FROM reach GROUP BY node""",
+    "p5_found": f"WITH {_PAIRS} SELECT a AS doc_id_a, b AS doc_id_b FROM pairs",
+    "p5_groups": f"""WITH RECURSIVE {_PAIRS},
+        bo AS (SELECT a, b, same FROM pairs UNION SELECT b, a, same FROM pairs),
+        reps AS (SELECT w.doc_id, least(w.doc_id, coalesce(min(b), w.doc_id)) AS rep FROM w LEFT JOIN bo ON bo.a = w.doc_id AND same GROUP BY w.doc_id),
+        links AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM bo JOIN reps x ON x.doc_id = bo.a JOIN reps y ON y.doc_id = bo.b WHERE x.rep <> y.rep),
+        reach AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT bo.b, r.root FROM reach r JOIN bo ON bo.a = r.node)
+        SELECT reps.doc_id, reps.rep, min(root) AS group_id, (SELECT count(*) FROM links WHERE links.a = reps.rep) AS n_links FROM reps JOIN reach ON reach.node = reps.doc_id GROUP BY ALL""",
+    "p6_found": f"WITH RECURSIVE {_GROUPS} SELECT train_id, group_id FROM grp",
+    "p6_splits": f"WITH RECURSIVE {_GROUPS}, {_ASSIGNED} SELECT id, group_id, split FROM asg",
+    "p6_split_report": f"""WITH RECURSIVE {_GROUPS}, {_ASSIGNED}
+        SELECT t.split, t.share, count(a.id) AS n_records, count(DISTINCT a.group_id) AS n_groups, round(count(a.id) / (SELECT count(*) FROM asg), 6) AS reached_share FROM split_targets t LEFT JOIN asg a ON a.split = t.split GROUP BY t.split, t.share""",
 }

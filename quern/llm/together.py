@@ -62,7 +62,7 @@ def assign_splits(groups: DataFrame, shares: DataFrame, seed: int = 42) -> DataF
     shares: (split, share), a small table. Related records never part; the proportions hold over groups, so a group
     that holds a large part of all records moves them by as much, which split_report shows.
     """
-    point = F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    point = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "group_id"), 256), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     ranges = [(r["split"], r["high"]) for r in split_ranges(shares).orderBy("high").limit(1000).collect()]
     if not ranges:
         raise ValueError("no split has a share")
