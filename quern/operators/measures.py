@@ -113,7 +113,7 @@ def bootstrap_hashed(deltas: DataFrame, samples: int = 1001, seed: int = 42) ->
     kept = deltas.where("delta is not null").select("pair", "metric", "id", "delta")
     placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("pair", "metric").orderBy("id")) - 1)
     n = kept.groupBy("pair", "metric").agg(F.count("*").alias("n"))
-    draws = n.select("pair", "metric", "n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i")).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
+    draws = n.select("pair", "metric", "n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i")).repartition("pair", "metric", "i").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "pair", "metric", "i", "j"), 256), 1, 12), 16, 10).cast("bigint")
     met = draws.withColumn("place", (h % F.col("n")).cast("int")).join(placed.select("pair", "metric", "place", "delta"), ["pair", "metric", "place"])
     means = met.groupBy("pair", "metric", "i").agg((F.sum(F.col("delta").cast("decimal(18,9)")).cast("double") / F.count("*")).alias("mean"))

@@ -120,7 +120,7 @@ def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unpaired_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of recipes that didn't see the same examples, were the last recipe to lose every third one."""
-    rows = _predictions(spark, sf_dir).where((F.col("recipe") != "raft-rag") | (F.crc32("id") % 3 != 0))
+    rows = _predictions(spark, sf_dir).where((F.col("recipe") != "raft-rag") | (F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 3 != 0))
     return measures.unpaired_ids(rows.select("recipe", "id"))
 
 
@@ -191,6 +191,8 @@ SQL = {
     "comparison_matrix": f"""WITH {_BOOT}, su AS ({_SUMMARY})
         SELECT su.pair, su.metric, pairs, su.delta, ci95_low, ci95_high, CASE WHEN su.pair = 'sft-rag->raft-rag' THEN 'confounded_training_controls' WHEN pairs = 0 THEN 'insufficient_coverage' ELSE 'ok' END AS status,
         su.pair <> 'sft-rag->raft-rag' AND pairs > 0 AS eligible, su.pair <> 'sft-rag->raft-rag' AND pairs > 0 AND coalesce(excludes_zero, FALSE) AS significant FROM su LEFT JOIN b ON b.pair = su.pair AND b.metric = su.metric""",
+    "unpaired_examples": f"""WITH {EVAL}, s AS (SELECT id, {NUMBER} % 3 = 0 AS lost FROM ev WHERE {NUMBER} % 20 = 0)
+        SELECT pair, id, CAST(1 AS BIGINT) AS n_baseline, CAST(0 AS BIGINT) AS n_candidate FROM s, (VALUES ('rag->raft-rag'), ('sft-rag->raft-rag')) x(pair) WHERE lost""",
     "thinking_split": """WITH t AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 2 AS b, event_id % 5 <> 0 AS closed FROM events)
         SELECT event_id, CAST(CASE WHEN closed THEN b ELSE 0 END AS BIGINT) AS n_reasoning, CAST(CASE WHEN closed THEN 2 ELSE 0 END AS BIGINT) AS n_answer, CAST(b + CASE WHEN closed THEN 1 ELSE 0 END + 2 AS BIGINT) AS n_output,
         CASE WHEN NOT closed THEN 'missing boundary' END AS problem FROM t""",

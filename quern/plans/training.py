@@ -153,6 +153,7 @@ SQL = {
         SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS validation_rows, count(DISTINCT "group") AS groups,
         CAST(0 AS BIGINT) AS group_overlap, (SELECT n FROM q) AS question_overlap, (SELECT n FROM d) AS document_overlap FROM a""",
     "source_fingerprint": f"WITH {_PRINTS} SELECT id, fingerprint FROM f",
+    "row_fingerprint": "WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM sft WHERE id IS NOT NULL) WHERE rn = 1) SELECT id, sha256('{' || " + " || ',' || ".join(f"""'"{c}":' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')""" for c in ("id", "input", "instruction", "output")) + " || '}') AS fingerprint FROM s",
     "table_fingerprint": f"""WITH {_PRINTS}, b AS (SELECT substr(fingerprint, 1, 3) AS block, sha256(string_agg(fingerprint, chr(10) ORDER BY fingerprint)) AS f, count(*) AS n FROM f GROUP BY 1)
         SELECT sha256(string_agg(f, chr(10) ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""",
 }
