@@ -55,6 +55,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     timed = running_total(copies, "_queue", "_order", "n_tokens", "doc_id", "_sent")
     time = (F.col("_sent") + F.col("at").cast("bigint") * F.col("_all")) / F.col("weight")
     timed = stash.put(timed.select("source", "doc_id", "copy", "n_tokens", time.alias("finish")).where(F.col("finish").isNotNull()))
+    stash.release(usable)
     # the slot of virtual time in which the budget runs out
     width = max(1.0, (timed.agg(F.max("finish")).first()[0] or 0) / SLOTS)
     slot = F.floor(F.col("finish") / F.lit(width))

@@ -233,10 +233,14 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     members = stash.put(join_unique(sets, classes, "digest", total).select("doc_id", "rep"))
     copies = stash.put(members.where("doc_id <> rep").select("doc_id"))
     ranks = spark.sparkContext.broadcast(_ranks(scanned, bits, stash))
+    stash.release(scanned)
+    stash.release(classes)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
     texts = texts.join(copies, "doc_id", "left_anti")
     pairs = stash.put(_candidates(_postings(texts, width, bits, ranks, least), least))
     links = stash.put(_verify(pairs, docs, width, least))
+    stash.release(pairs)
+    stash.release(copies)
     return members, links
 
 
