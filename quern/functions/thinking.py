@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 NONE = "array<int>"
 
 
+def token_id(tokenizer, token: str) -> int | None:
+    """The id of a special token: from the vocabulary, else by conversion if that leads back, else as a one-token text."""
+    known = getattr(tokenizer, "get_vocab", dict)().get(token)
+    if known is not None:
+        return known
+    if hasattr(tokenizer, "convert_tokens_to_ids"):
+        found = tokenizer.convert_tokens_to_ids(token)
+        if isinstance(found, int) and found >= 0 and tokenizer.convert_ids_to_tokens(found) == token:
+            return found
+    ids = tokenizer.encode(token, add_special_tokens=False)
+    return ids[0] if len(ids) == 1 else None
+
+
 def trimmed(ids: Column, pad: int, eos: int | None) -> Column:
     """The ids without padding at the end; where padding is also the end of the text, one of them is kept."""
     kept = F.aggregate(F.reverse(ids), F.lit(0), lambda n, x: F.when((n >= 0) & (x == pad), n + 1).when(n >= 0, -(n + 1)).otherwise(n), lambda n: F.when(n >= 0, n).otherwise(-n - 1))

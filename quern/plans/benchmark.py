@@ -17,6 +17,7 @@ from quern.functions import prompts, text
 from quern.operators import measures, ranking, scoring
 from quern.operators.records import clean_ids, missing_references, repeated_ids
 from quern.runtime import Stash
+from quern.sources import schemas
 from quern.sources.tracking import NoTracker, Tracker
 
 #: The recipes, and whether they see retrieved documents.
@@ -135,6 +136,7 @@ def run(
         for row in deciding.where("pairs > 0 or metric like 'judge_%'").orderBy("pair", "metric").collect():
             comparisons.setdefault(row["pair"], {})[row["metric"]] = row.asDict()
         summary = {"schema_version": 3, "configuration": {"top_k": top_k, "seed": seed, "bootstrap_samples": samples, "prompt": prompts.identity()}, "jobs": [j.as_dict() for j in jobs], "retrieval": retrieval, "recipes": recipes, "comparisons": comparisons}
+        schemas.require(summary, schemas.SUMMARY)
         folder = Path(output)
         (folder / "summary.json").write_text(json.dumps(summary, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
         (folder / "report.md").write_text(report(summary), encoding="utf-8")

@@ -254,3 +254,34 @@ def test_chat_servers(spark):
     finally:
         server.shutdown()
     assert http.parse_object('so {"a": 1}.') == {"a": 1}
+
+
+def test_schemas():
+    from quern.sources import schemas
+
+    shape = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": ["integer", "null"], "minimum": 1}, "b": {"type": "array", "items": {"$ref": "word"}}}}
+    known = {"word": {"type": "string", "minLength": 2, "pattern": "^x"}}
+    assert schemas.problems({"a": 1, "b": ["xy"]}, shape, known=known) == []
+    assert schemas.problems({"a": True, "b": ["y", 3], "c": 0}, shape, known=known) == ["$.a: must be integer or null", "$.b.0: is too short", "$.b.0: doesn't match ^x", "$.b.1: must be string", "$.c: isn't allowed"]
+    assert schemas.problems({"a": 0}, shape) == ["$.a: must be at least 1"] and schemas.problems({}, shape) == ["$.a: is missing"]
+    with pytest.raises(ValueError, match="must be object"):
+        schemas.require([], shape)
+
+
+def test_special_tokens():
+    from quern.functions.thinking import token_id
+
+    class Tokenizer:
+        def get_vocab(self):
+            return {"</think>": 7}
+
+        def convert_tokens_to_ids(self, token):
+            return 8 if token == "<think>" else 0
+
+        def convert_ids_to_tokens(self, i):
+            return {8: "<think>", 0: "<unk>"}[i]
+
+        def encode(self, token, add_special_tokens):
+            return [3] if token == "one" else [1, 2]
+
+    assert [token_id(Tokenizer(), t) for t in ("</think>", "<think>", "one", "many")] == [7, 8, 3, None]
