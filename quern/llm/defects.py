@@ -139,7 +139,7 @@ def is_copy(question: str | None, answer: str) -> bool:
     """
     if not question:
         return False
-    q, a = ([w for x in t.lower().split() if (w := x.strip(_marks))] for t in (question, answer))
+    q, a = ([w for x in t.casefold().split() if (w := x.strip(_marks))] for t in (question, answer))
     while a and a[0] in LABELS and a[0] != (q[0] if q else None):
         a = a[1:]
     if not q or len(a) < 0.6 * len(q) or len(q) < 2:

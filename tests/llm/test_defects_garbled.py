@@ -40,6 +40,7 @@ CASES = [
     ("c2", QUESTIONS["en"], QUESTIONS["en"] + " " + QUESTIONS["en"], None, "copy"),
     ("c3", QUESTIONS["en"], QUESTIONS["en"].replace(" merge?", ""), None, "copy"),
     ("c4", QUESTIONS["en"], QUESTIONS["en"] + " " + SENTENCES["en"][0], None, None),
+    ("c6", "Wo legt die Größe der Liste die Werte ab?", "WO LEGT DIE GRÖSSE DER LISTE DIE WERTE AB?", None, "copy"),
     ("c5", QUESTIONS["en"], QUESTIONS["en"], "Repeat the input word for word.", None),
     ("t1", QUESTIONS["en"], SENTENCES["en"][0] + " Reviewers found 12 ca", None, "truncated"),
     ("t2", QUESTIONS["en"], SENTENCES["en"][0] + "\n```\nx = load('a', ", None, "truncated"),
