@@ -65,25 +65,68 @@ def _wide_pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (codes[at].astype(np.uint64) << np.uint64(21)) | codes[at + 1].astype(np.uint64)
 
 
+def _kinds(codec: str) -> np.ndarray:
+    """For each code point up to 0xFFFF, how many bytes the UTF-8 sequence has that its byte begins; 1 for the bytes within one."""
+    out = np.zeros(1 << 16, np.uint8)
+    for char, b in _MAPS[codec].items():
+        out[ord(char)] = 1 if b < 0xC0 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+    return out
+
+
+_KINDS = {codec: _kinds(codec) for codec in READ_AS}
+
+
+def _suspects(codes: np.ndarray) -> np.ndarray:
+    """Positions of the characters that are UTF-8 as one of the sets reads it, and of lost ones, whatever their frequency."""
+    wide = np.flatnonzero(codes > 127)
+    low = np.minimum(codes[wide], 0xFFFF)
+    hit = low == ord(LOST)
+    beside = np.diff(wide) == 1
+    for kinds in _KINDS.values():
+        kind = kinds[low]
+        follows = beside & (kind[1:] == 1)
+        for size in (2, 3, 4):
+            heads = np.flatnonzero(kind[: len(kind) - size + 1] == size) if len(kind) >= size else np.zeros(0, np.int64)
+            for k in range(size - 1):
+                heads = heads[follows[heads + k]]
+            for k in range(size):
+                hit[heads + k] = True
+    return wide[hit]
+
+
 def pair_counts(docs: DataFrame) -> DataFrame:
-    """Rows (slot, n): occurrences over all texts of the pairs in each slot; slot -1 counts all adjacent pairs."""
+    """Rows (slot, n, once, clean): occurrences of the pairs in each slot; slot -1 counts all adjacent pairs.
+
+    n counts over all texts, once over the distinct ones; clean also leaves out the pairs with a suspect. So garbling
+    becomes probable neither by copies nor by being frequent.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, total = np.zeros(2 << BITS, np.int64), 0
+        hits, totals = np.zeros((3, 2 << BITS), np.int64), np.zeros(3, np.int64)
         for batch in batches:
-            codes = _codes(batch.column("text").to_pylist())
+            texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_numpy()
+            codes = _codes(texts)
             if len(codes) > 1:
-                pairs, n = np.unique(_wide_pairs(codes)[1], return_counts=True)
+                sizes = np.array([len(t or "") + 1 for t in texts])
+                at, wide = _wide_pairs(codes)
+                odd = np.zeros(len(codes), np.bool_)
+                odd[_suspects(codes)] = True
+                pairs, which = np.unique(wide, return_inverse=True)
+                sure = which[~(odd[at] | odd[at + 1])]
+                n = (np.bincount(which, np.repeat(copies, sizes)[at], len(pairs)).astype(np.int64), *(np.bincount(x, minlength=len(pairs)) for x in (which, sure)))
                 for slots in _slots(pairs):
-                    np.add.at(hits, slots, n)
-                total += len(codes)
-        used = np.flatnonzero(hits)
+                    for table, some in zip(hits, n):
+                        np.add.at(table, slots, some)
+                totals += [int((sizes * copies).sum()), len(codes), len(codes)]
+        used = np.flatnonzero(hits[0])
+        names = ["slot", "n", "once", "clean"]
         for at in range(0, len(used), 50_000):
             part = used[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(hits[part])], ["slot", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([total])], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in hits)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x]) for x in totals.tolist())], names)
 
-    return docs.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = docs.groupBy("text").agg(F.count("*").alias("copies")).mapInArrow(count, "slot bigint, n bigint, once bigint, clean bigint")
+    return counts.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n", "once", "clean")))
 
 
 class PairModel:
@@ -113,15 +156,17 @@ class PairModel:
         return total
 
 
-def pair_table(docs: DataFrame) -> np.ndarray:
-    """Log probability of the pairs in each slot."""
-    counts, total = np.zeros(2 << BITS, np.int64), 1
-    for slot, n in pair_counts(docs).collect():  # at most 2 * 2**BITS + 1 rows
+def pair_tables(docs: DataFrame) -> np.ndarray:
+    """Log probability of the pairs in each slot, one row each: over all texts, if copies count once, and without suspects."""
+    counts, totals = np.zeros((3, 2 << BITS), np.int64), [1, 1, 1]
+    for slot, *n in pair_counts(docs).toLocalIterator():  # at most 2 * 2**BITS + 1 rows
         if slot < 0:
-            total = n
+            totals = n
         else:
-            counts[slot] = n
-    return np.log((counts + 0.3) / max(1, total)).astype(np.float32)
+            counts[:, slot] = n
+    # what copies add is left out of a pair's own probability, but the total stays: a text isn't probable for its copies
+    sizes = np.array([[totals[0]], [totals[0]], [totals[2]]])
+    return np.log((counts + 0.3) / np.maximum(1, sizes)).astype(np.float32)
 
 
 def runs(positions: np.ndarray, scores: np.ndarray, cost: float = 2.0) -> list[tuple[int, int]]:
@@ -171,8 +216,8 @@ def _depths(text: str, codec: str) -> Iterator[str]:
 class Undoing:
     """What each inverse mapping makes of a cluster of wide characters between its neighbours; remembered, for speed only."""
 
-    def __init__(self, model: PairModel) -> None:
-        self.model = model
+    def __init__(self, model: PairModel, once: PairModel, clean: PairModel) -> None:
+        self.model, self.once, self.clean = model, once, clean
         self.known: dict[tuple[str, str, str], tuple[dict, dict]] = {}
 
     def __call__(self, left: str, run: str, right: str) -> tuple[dict[str, list], dict[tuple[str, str], tuple[float, str]]]:
@@ -189,13 +234,13 @@ class Undoing:
         for codec in READ_AS:
             for i, j, original in _utf8_undone(run, codec):
                 x, y = (run[i - 1] if i else left), (run[j] if j < len(run) else right)
-                before = self.model.text(x + run[i:j] + y) / (j - i + 1)
-                after, original = max((self.model.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
+                before = self.clean.text(x + run[i:j] + y) / (j - i + 1)
+                after, original = max((self.clean.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
                 out.setdefault(codec, []).append((i, j, original, after - before))
         return out
 
     def _swaps(self, left: str, run: str, right: str) -> dict[tuple[str, str], tuple[float, str]]:
-        out, before = {}, self.model.text(left + run + right)
+        out, before = {}, self.once.text(left + run + right)
         for codec in READ_AS:
             known = _MAPS[codec]
             if all(c in known for c in run):
@@ -291,16 +336,19 @@ def garbled(docs: DataFrame) -> DataFrame:
 
     Adjacent characters are scored by how rare the pair is in all texts; maximum-scoring segments are the improbable
     runs, and only inside them inverse mappings are tried: UTF-8 that was read in another set, once or several times,
-    and one set read as another. A mapping counts if it makes the run more probable. Replacement characters can't be
+    and one set read as another. A mapping counts if it makes the run more probable. Copies of a text count once for
+    what it has. Stretches that are valid UTF-8 as some set reads it, and replacement characters, are looked at however
+    frequent they are, and scored by the pairs outside such stretches; so garbling can't vouch for itself. One set read
+    as another has no such form: at a large share of different texts it counts as normal. Replacement characters can't be
     undone: n_lost counts them, and restored is the text with everything else undone. Characters that stand between
     quotation marks on their own are quoted, not garbled. Null and empty texts have no rows; doc_id is passed on as it
     is. The model is a table of fixed size, broadcast; the operator itself is narrow.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pair_table(docs))
+    table = docs.sparkSession.sparkContext.broadcast(pair_tables(docs))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PairModel(table.value)
-        undo = Undoing(own)
+        every, own, clean = (PairModel(t) for t in table.value)
+        undo = Undoing(every, own, clean)
         for batch in batches:
             ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             codes = _codes(texts)
@@ -309,9 +357,12 @@ def garbled(docs: DataFrame) -> DataFrame:
             starts = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
             first = np.searchsorted(at, starts)
             odd = np.add.reduceat(np.append(scores > 0, False), np.minimum(first[:-1], len(scores))) if len(scores) else np.zeros(len(texts))
-            for k in np.flatnonzero((odd > 0) & (first[:-1] < first[1:])).tolist():
+            suspects = _suspects(codes)
+            held = np.searchsorted(suspects, starts)
+            for k in np.flatnonzero(((odd > 0) & (first[:-1] < first[1:])) | (held[:-1] < held[1:])).tolist():
                 part = slice(first[k], first[k + 1])
                 spans, size = runs(at[part] - starts[k], scores[part]), len(texts[k])
+                spans += [(a, a + 1) for a in (suspects[held[k] : held[k + 1]] - starts[k]).tolist()]
                 restored, mapping, lost = repair(texts[k], [(a, min(b, size)) for a, b in spans if a < size], undo)
                 if mapping or lost:
                     rows.append((ids[k], mapping, lost, restored))

@@ -114,3 +114,20 @@ def test_twice_garbled_and_lost(spark):
 def test_nothing_garbled(spark):
     assert garbled.garbled(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert garbled.garbled(spark.createDataFrame([(1, "plain")], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "mac_roman"])
+def test_frequent_garbling_is_no_normal_text(spark, wrong):
+    """A third of the rows, as copies of one text or as a source read in one wrong set, or with lost characters."""
+    base = texts()
+    bad = PLAIN[0].encode().decode(wrong)
+    copies = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, bad) for i in range(len(base) // 2)]
+    lost = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, f"Le point {i} : l�tape.") for i in range(len(base) // 2)]
+    swapped = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, PLAIN[1].encode("cp1252").decode("mac_roman")) for i in range(len(base) // 2)]
+    rng = random.Random(5)
+    source = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, f"{i} " + " ".join(rng.choices(PLAIN[:3], k=2)).encode().decode(wrong, "replace")) for i in range(len(base) // 2)]
+    for rows in (copies, lost, swapped, source):
+        found = garbled.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r["doc_id"] for r in found} == {i for i, _ in rows if i >= 10_000}
+        if rows is copies:
+            assert {r["restored"] for r in found} == {PLAIN[0]}
