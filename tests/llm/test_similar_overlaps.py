@@ -131,3 +131,19 @@ def test_chunks_move_with_their_content():
     assert "".join(chunker(text)) == text
     a, b = Counter(chunker(text)), Counter(chunker("and " + text))
     assert sum(len(c) * min(n, b[c]) for c, n in a.items()) > 0.8 * len(text)
+
+
+def test_overlaps_of_short_and_repetitive_questions(spark):
+    """Pairs whose chunks hardly meet, though their sequences do: short ones with an edit, repeated words, elongated letters."""
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choices("abdeilnorstuw", k=k))
+    evals, trains = [("e", "wo legt"), ("f", "la liste")], [("t", "awo legt"), ("u", "la liste" + "e" * 150)]
+    for i in range(80):
+        short = f"{word(rng.randint(2, 8))} {word(rng.randint(3, 10))}"
+        at = rng.randint(0, len(short))
+        long = " ".join(word(rng.randint(3, 7)) for _ in range(8))
+        evals += [(f"a{i}", short), (f"b{i}", long), (f"c{i}", long)]
+        trains += [(f"s{i}", short[:at] + word(1) + short[at:]), (f"r{i}", long + (" " + long.split()[-1]) * 30), (f"l{i}", long + long[-1] * 150)]
+    e, t = (spark.createDataFrame(x, "id string, question string") for x in (evals, trains))
+    found = {(r["eval_id"], r["train_id"]) for r in overlaps.split_overlaps(e, t).collect()}
+    assert found == brute_overlaps(evals, trains) and ("e", "t") in found
