@@ -71,11 +71,13 @@ _ended = re.compile(r"[.!?。！？:;][\"'”’»)\]]*$")
 _broken_off = re.compile(r"(?:\.\.|…|\[(?:\.{2,}|…)\])$|\n[ \t]*(?:[-*•+]|\d+[.)])$")
 _sentence_ends = re.compile(r"[.!?…][\"'”’»)\]]*\s")
 MAX_PHRASE = 6
-PHRASE_SHARE = 0.02
-"""A phrase is whole if at least this share of the answers that begin like it end with it."""
+PHRASE_SHARE, PHRASE_VOTES = 0.02, 1
+"""A phrase is whole if at least this share, and this number, of the other distinct answers that begin like it end with it."""
 COMMON_SHARES = (0.001, 0.0003)
 """Words of at least this share of the answers are common, more or less strictly; so they number at most a few thousand
 times an answer's words."""
+COMMON_FEW = 10
+"""On small tables a name in a few answers would be common, and its phrases alike to none; so one more level asks for this many."""
 
 
 def language(text: str) -> str | None:
@@ -220,41 +222,50 @@ def qa_pairs(train_qa: DataFrame) -> DataFrame:
     return train_qa.select(F.lit("train_qa").alias("tbl"), "id", "question", F.col("reference_answer").alias("answer"), F.lit(None).cast("string").alias("instruction"))
 
 
-def common_words(pairs: DataFrame) -> tuple[tuple[frozenset[str], ...], dict[str, list[int]]]:
-    """The words of at least each of COMMON_SHARES of the answers, and in how many texts of each language they are."""
+def _distinct(pairs: DataFrame, column: str) -> DataFrame:
+    """(text, answer): the distinct texts of a column, give or take case and blanks, and whether they are answers."""
+    same = F.lower(F.trim(F.regexp_replace(column, r"\s+", " "), F.lit(BLANKS)))
+    texts = pairs.where(F.col(column).isNotNull()).groupBy(same.alias("same")).agg(F.min(column).alias("text"))
+    return texts.select("text", F.lit(column == "answer").alias("answer"))
+
+
+def common_words(answers: DataFrame, questions: DataFrame) -> tuple[tuple[frozenset[str], ...], dict[str, list[int]]]:
+    """The words of at least each of COMMON_SHARES of the answers, and in how many texts of each language they are.
+
+    Both are distinct texts, so that copies make no word common.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["word", "n", *LANGUAGES]
         for batch in batches:
             seen: dict[str, list[int]] = {}
-            for column, own in (("answer", 1), ("question", 0)):
-                for text in batch.column(column).to_pylist():
-                    if text:
-                        told = language(_quoted.sub(" ", _fence.sub(" ", text)))
-                        for word in set(_letters.findall(text.lower())):
-                            n = seen.setdefault(word, [0] * len(names[1:]))
-                            n[0] += own
-                            if told:
-                                n[1 + LANGUAGES.index(told)] += 1
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("answer").to_pylist()):
+                told = language(_quoted.sub(" ", _fence.sub(" ", text)))
+                for word in set(_letters.findall(text.lower())):
+                    n = seen.setdefault(word, [0] * len(names[1:]))
+                    n[0] += own
+                    if told:
+                        n[1 + LANGUAGES.index(told)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([x[k] for x in seen.values()], pa.int64()) for k in range(len(names) - 1))], names)
 
-    n = pairs.count()
+    n = answers.count()
     schema = ", ".join(["word string", "n bigint", *(f"{k} bigint" for k in LANGUAGES)])
-    counts = pairs.select("answer", "question").mapInArrow(count, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *LANGUAGES)))
+    counts = answers.unionByName(questions).mapInArrow(count, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *LANGUAGES)))
     either = sum((F.col(k) for k in LANGUAGES), F.col("n"))
     found = counts.where(either >= max(3, min(COMMON_SHARES) * n)).collect()
-    common = tuple(frozenset(r["word"] for r in found if r["n"] >= max(3, share * n)) for share in COMMON_SHARES)
+    levels = [*((3, share) for share in COMMON_SHARES), (COMMON_FEW, max(COMMON_SHARES))]
+    common = tuple(dict.fromkeys(frozenset(r["word"] for r in found if r["n"] >= max(few, share * n)) for few, share in levels))
     return common, {r["word"]: [r[k] for k in LANGUAGES] for r in found if any(r[k] for k in LANGUAGES)}
 
 
-def _endings(pairs: DataFrame, common: tuple[frozenset[str], ...]) -> DataFrame:
-    """(kind, key, n): list items that others follow, short whole answers, and the beginnings of answers."""
+def _endings(answers: DataFrame, common: tuple[frozenset[str], ...]) -> DataFrame:
+    """(kind, key, n): list items that others follow, short answers, and the beginnings of answers, over distinct answers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[tuple[str, str]] = Counter()
-            for text in batch.column("answer").to_pylist():
-                if not text or not text.strip():
+            for text in batch.column("text").to_pylist():
+                if not text.strip():
                     continue
                 text = text.strip()
                 for line in text.split("\n")[:-1]:
@@ -272,7 +283,7 @@ def _endings(pairs: DataFrame, common: tuple[frozenset[str], ...]) -> DataFrame:
             columns = ([k for k, _ in seen], [x for _, x in seen], list(seen.values()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["kind", "key", "n"])
 
-    return pairs.select("answer").mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return answers.select("text").mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def defects(pairs: DataFrame) -> DataFrame:
@@ -281,13 +292,15 @@ def defects(pairs: DataFrame) -> DataFrame:
     pairs: (tbl, id, question, answer, instruction), as from sft_pairs and qa_pairs. Copies are told by compressing the
     answer with the question as the dictionary; refusals and languages by dictionaries; truncation by how the answer
     ends, in a model of all answers' ends: a list's last item is whole if it stands further up in other lists, a phrase
-    if many of the answers that begin like it end with it. Repeated deliveries count once; if their contents differ,
+    if many of the other distinct answers that begin like it end with it, so no answer vouches for itself or its copies.
+    Repeated deliveries count once; if their contents differ,
     the least defect holds. An answer that is null is empty; a null question has neither copies nor a language; records
     without id are left out; an empty table gives no rows; other columns are ignored.
     """
     stash = Stash(pairs.sparkSession)
     pairs = pairs.where("id is not null")
-    common, tongues = common_words(pairs)
+    answers = stash.put(_distinct(pairs, "answer"))
+    common, tongues = common_words(answers, _distinct(pairs, "question"))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(tongues)
@@ -311,13 +324,15 @@ def defects(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
 
     judged = stash.put(pairs.select("tbl", "id", "question", "answer", "instruction").mapInArrow(classify, "tbl string, id string, defect string, kind string, key string, start string"))
-    ends = stash.put(_endings(pairs, common))
+    ends = stash.put(_endings(answers, common))
     open_ = judged.where("kind is not null")
     keys = open_.select("kind", "key", "start").distinct()
     items = ends.where("kind <> 'start'").select("kind", "key", F.col("n").alias("n_whole"))
     starts = ends.where("kind = 'start'").select(F.col("key").alias("start"), F.col("n").alias("n_start"))
     known = keys.join(items, ["kind", "key"], "left").join(starts, "start", "left")
-    whole = F.when(F.col("kind") == "item", F.coalesce("n_whole", F.lit(0)) >= 1).otherwise(F.coalesce("n_whole", F.lit(0)) >= PHRASE_SHARE * F.coalesce("n_start", F.lit(0)))
+    others, begun = (F.greatest(F.coalesce(c, F.lit(0)) - 1, F.lit(0)) for c in ("n_whole", "n_start"))  # without the judged one
+    voted = (others >= PHRASE_VOTES) & (others >= PHRASE_SHARE * begun)
+    whole = F.when(F.col("kind") == "item", F.coalesce("n_whole", F.lit(0)) >= 1).otherwise(voted)
     good = open_.join(known.where(whole).select("kind", "key"), ["kind", "key"], "left_semi").select("tbl", "id")
     cut = open_.join(good, ["tbl", "id"], "left_anti").select("tbl", "id", F.lit("truncated").alias("defect"))
     return judged.where("defect is not null").select("tbl", "id", "defect").unionByName(cut).groupBy("tbl", "id").agg(F.min("defect").alias("defect"))

@@ -65,6 +65,15 @@ def test_defects(spark):
     assert not [i for i in got if i and i.startswith("g")] and None not in got
 
 
+def test_cut_phrases_don_t_vouch_for_themselves(spark):
+    """Neither one with an uncommon beginning, nor one that is the answer of a quarter of the rows; whole ones stay whole then."""
+    alone = ("cut", QUESTIONS["fr"], "Pour rétablir Begikeja, il", None)
+    often = [(f"o{i}", f"{QUESTIONS['en']} {i}", "Seeds 12 gave Dovo", None) for i in range(300)]
+    whole = [(f"w{i}", f"{QUESTIONS['en']} {i}", "The nam7 pool", None) for i in range(300)]
+    got = {r["id"]: r["defect"] for r in defects.defects(corpus(spark, [alone, *often, *whole])).collect()}
+    assert got == {i: "truncated" for i, *_ in [alone, *often]}
+
+
 def test_defects_of_nothing(spark):
     assert defects.defects(corpus(spark, []).limit(0)).count() == 0
 
