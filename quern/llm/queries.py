@@ -27,7 +27,7 @@ def p1_slice_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_slice_tokens_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    make = tokens.bpe_tokenizer(f"{tokenizers}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
+    make = tokens.bpe_tokenizer(spark, f"{tokenizers}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
     return tokens.slice_tokens(table(spark, sf_dir, "documents"), make)
 
 

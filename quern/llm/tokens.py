@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.tables import bloom, passes
 from quern.runtime import Stash, join_unique
 
 #: The tokenizer's blanks, which give no token. Fixed values.
@@ -78,16 +80,20 @@ def piece_tokenizer(vocab: DataFrame) -> Callable[[], Callable[[str | None], int
     return lambda: PieceCounter(pieces)
 
 
-def bpe_tokenizer(ranks_file: str, pattern: str) -> Callable[[], Callable[[str | None], int]]:
-    """A factory of counters under a public byte-level BPE, given by its file of ranks and its splitting pattern."""
+def bpe_tokenizer(spark: SparkSession, ranks_file: str, pattern: str) -> Callable[[], Callable[[str | None], int]]:
+    """A factory of counters under a public byte-level BPE, given by its file of ranks and its splitting pattern.
+
+    The driver reads the file, whose size is that of a vocabulary, and broadcasts it; executors need no copy.
+    """
+    with open(ranks_file, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
 
     def make() -> Callable[[str | None], int]:
         import base64
 
         import tiktoken
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
         encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return lambda text: len(encoding.encode_ordinary(text)) if text else 0
 
@@ -123,11 +129,29 @@ def sliced(docs: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.unhex(digest).alias("digest"), source.alias("source"), label("own_lang").alias("lang"), label("meta_topic").alias("topic"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _distinct_counts(rows: DataFrame, copies: DataFrame, make: Callable[[], Callable[[str | None], int]]) -> DataFrame:
-    """(digest, n_tokens, n_rows): each distinct text tokenized once, at the document that stands for its copies."""
-    stand_in = copies.select(F.col("rep").alias("doc_id"), "n_rows").hint("shuffle_hash")
-    texts = rows.select("doc_id", "digest", "text").join(stand_in, "doc_id", "left_semi")
-    return with_token_counts(texts, make).join(copies.select("digest", "n_rows"), "digest")
+def _distinct_counts(rows: DataFrame, copies: DataFrame, make: Callable[[], Callable[[str | None], int]], stash: Stash) -> DataFrame:
+    """(digest, n_tokens): each distinct text tokenized once.
+
+    A text is tokenized where it is read unless a Bloom filter says that its digest may be repeated; only such texts
+    move, one for each digest and partition, so a text that fills a third of the table moves hardly at all.
+    """
+    repeated = copies.where("n_rows > 1").select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint").alias("key"))
+    maybe = rows.sparkSession.sparkContext.broadcast(bloom(repeated, repeated.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = make()
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            keys = np.array([int.from_bytes(d[:7], "big") for d in digests], np.int64)
+            moves = passes(maybe.value, keys).tolist()
+            texts = batch.column("text").to_pylist()
+            n = [None if m else counter(t) for m, t in zip(moves, texts)]
+            held = [t if m else None for m, t in zip(moves, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64()), pa.array(held, pa.string())], ["digest", "n_tokens", "text"])
+
+    met = stash.put(rows.select("digest", "text").mapInArrow(count, "digest binary, n_tokens bigint, text string"))
+    moved = met.where("text is not null").groupBy("digest").agg(F.any_value("text").alias("text"))
+    return met.where("text is null").select("digest", "n_tokens").unionByName(with_token_counts(moved, make))
 
 
 def document_tokens(docs: DataFrame, make: Callable[[], Callable[[str | None], int]]) -> DataFrame:
@@ -139,8 +163,8 @@ def document_tokens(docs: DataFrame, make: Callable[[], Callable[[str | None], i
     stash = Stash(docs.sparkSession)
     rows = sliced(docs)
     labels = stash.put(rows.drop("text"))
-    copies = labels.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"))
-    counts = stash.put(_distinct_counts(rows, copies, make).select("digest", "n_tokens", "n_rows"))
+    copies = stash.put(labels.groupBy("digest").agg(F.count("*").alias("n_rows")))
+    counts = stash.put(_distinct_counts(rows, copies, make, stash).join(copies, "digest"))
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
     return join_unique(labels, counts, "digest", total).select("doc_id", "source", "lang", "topic", "n_tokens")
 
@@ -153,9 +177,9 @@ def slice_tokens(docs: DataFrame, make: Callable[[], Callable[[str | None], int]
     """
     stash = Stash(docs.sparkSession)
     rows = sliced(docs)
-    parts = stash.put(rows.groupBy("digest", "source", "lang", "topic").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
-    copies = parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("copies").alias("n_rows"))
-    joined = parts.join(_distinct_counts(rows, copies, make).select("digest", "n_tokens"), "digest")
+    parts = stash.put(rows.groupBy("digest", "source", "lang", "topic").agg(F.count("*").alias("copies")))
+    copies = parts.groupBy("digest").agg(F.sum("copies").alias("n_rows"))
+    joined = parts.join(_distinct_counts(rows, copies, make, stash), "digest")
     return joined.groupBy("source", "lang", "topic").agg(
         F.sum("copies").alias("n_docs"),
         F.count("*").alias("n_texts"),

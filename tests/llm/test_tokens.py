@@ -91,11 +91,11 @@ def test_vocabulary_is_bounded(spark, monkeypatch):
         tokens.vocabulary(spark.createDataFrame([("a",), ("b",), ("c",)], "piece string"))
 
 
-def test_public_tokenizer():
+def test_public_tokenizer(spark):
     folder = pytest.importorskip("public_tokenizers")
     from quern.llm.queries import BYTE_BPE_PATTERN
 
-    count = tokens.bpe_tokenizer(folder.path("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)()
+    count = tokens.bpe_tokenizer(spark, folder.path("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)()
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(folder.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
     for text in ("Hello, world! It's 12 o'clock.", "", "größer  \n\n x", "<|endoftext|>"):
