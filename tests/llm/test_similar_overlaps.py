@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from quern.llm import overlaps, similar
+from quern.llm import overlaps, similar, tables
 from quern.llm.shingles import Shingler
 
 DOCS = "doc_id bigint, text string, rep string, a string"
@@ -60,11 +63,27 @@ def test_long_lists_are_cut(spark, monkeypatch):
     assert {(r["doc_id_a"], r["doc_id_b"]) for r in similar.similar_pairs(members, links).collect()} == brute(docs, 0.6, 3)
 
 
-def test_partial_tables_are_summed_in_a_tree(spark, monkeypatch):
-    monkeypatch.setattr(similar, "REDUCE", 2)
+@pytest.mark.parametrize("bits", [16, 10, 6])
+def test_a_full_table_changes_neither_pairs_nor_postings(spark, monkeypatch, bits):
+    """Shrunk up to a thousandfold, the table only stops telling which elements occur once."""
+    monkeypatch.setattr(tables, "SLICE", 64)
+    monkeypatch.setattr(similar, "bits_for", lambda keys, most: bits)
     docs = corpus(8)
-    members, links = similar.similar_classes(spark.createDataFrame(docs, DOCS).repartition(7), 0.6, 3)
+    frame = spark.createDataFrame(docs, DOCS).repartition(7)
+    members, links = similar.similar_classes(frame, 0.6, 3)
     assert {(r["doc_id_a"], r["doc_id_b"]) for r in similar.similar_pairs(members, links).collect()} == brute(docs, 0.6, 3)
+    hits = tables.summed(similar._scan(frame, 3, bits), 1 << bits)
+    assert int(hits.sum()) == sum(len(shingle_set(t, 3)) for _, t, *_ in docs)
+    texts = frame.select("doc_id", "text").where("text is not null")
+    posted = similar._postings(texts, 3, bits, spark.sparkContext.broadcast(similar.levels(hits)), Fraction("0.6"), 8).agg({"n": "sum"}).first()[0]
+    sizes = [n for _, t, *_ in docs if (n := len(shingle_set(t, 3)))]
+    assert posted <= sum(n - math.ceil(0.6 * n - 1e-9) + 1 for n in sizes)
+
+
+def test_packed_postings_come_back():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 40, 500).astype(np.uint64)), rng.integers(-(1 << 62), 1 << 62, 500), rng.integers(1, 9999, 500), rng.integers(0, 9, 500), rng.integers(0, 3, 500)]
+    assert all((a == b).all() for a, b in zip(columns, similar._unpacked(similar._packed(columns), 500)))
 
 
 def test_groups_of_copies(spark):
