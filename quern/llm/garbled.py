@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,20 +13,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.tables import ROWS, slices, summed
+
 BITS = 21
 """Counts of character pairs are kept in two tables of 2**BITS slots each, whatever the corpus; the lesser count holds."""
 CACHE = 400_000
 
 #: Character sets that texts are wrongly read in, and those that they may really have been in besides UTF-8. Fixed values.
-READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
-REALLY = ("cp1252", "mac_roman", "cp850")
+READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r")
+REALLY = ("cp1252", "mac_roman", "cp850", "cp1251", "koi8_r")
+#: Sets of more than one byte that UTF-8 is wrongly read in.
+READ_WIDE = ("gbk", "shift_jis", "big5")
+CHARS = 0x110000
 
 _QUOTED = re.compile("[“”„\"«»‘’‹›'][^\\s“”„\"«»‘’‹›']{1,8}[“”„\"«»‘’‹›']")
 _CLUSTER = re.compile(r"[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 LOST = "�"
-SURPRISE = math.log(1e-4)
-"""A pair of characters rarer than this raises the score of a run, others lower it."""
+SURPRISE = -2.0
+"""A pair whose mutual information is below this raises the score of a run, others lower it."""
+SMOOTH = 10.0
+"""Every character counts as if it stood SMOOTH times the root of the corpus' length more often. So two characters that
+are rare by themselves are expected to meet SMOOTH squared times, and their mutual information is low if they never did;
+without it, characters that occur in garbled text only would have the highest of all."""
 GAIN_UTF8, GAIN_CLUSTER, GAIN_TEXT = 0.5, 4.0, 7.0
 """Least gain in log probability: a pair on average, for UTF-8; a cluster and all of a text's clusters, for other sets."""
 
@@ -94,55 +104,82 @@ def _suspects(codes: np.ndarray) -> np.ndarray:
     return wide[hit]
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """Rows (slot, n, once, clean): occurrences of the pairs in each slot; slot -1 counts all adjacent pairs.
+def _misplaced_kinds() -> np.ndarray:
+    """For each character: 1 small letter, 2 capital letter, 3 a sign that words don't have, 4 a letter of another alphabet; else 0."""
+    out = np.zeros(CHARS, np.uint8)
+    inside = "'’‘‐‑­·ʼ"
+    for c in range(0x10000):
+        kind, char = unicodedata.category(chr(c)), chr(c)
+        if kind[0] == "L":
+            latin = c < 0x250 or 0x1E00 <= c < 0x1F00 or 0xFB00 <= c < 0xFB07
+            out[c] = (2 if kind in ("Lu", "Lt") else 1) if latin else 4 if 0x370 <= c < 0x530 else 0
+        elif c > 127 and char not in inside and (kind[0] in "SP" or kind in ("No", "Cc", "Co", "Lm")):
+            out[c] = 3
+    return out
+
+
+_MISPLACED = _misplaced_kinds()
+
+
+def _misplaced(codes: np.ndarray) -> np.ndarray:
+    """Positions of wide characters where writing doesn't have them, as one set read as another leaves them.
+
+    A sign between two letters, a capital behind a small letter, a Greek or Cyrillic letter beside a Latin one.
+    """
+    at = np.flatnonzero(codes > 127)
+    at = at[(at > 0) & (at < len(codes) - 1)]
+    own, before, after = _MISPLACED[codes[at]], _MISPLACED[codes[at - 1]], _MISPLACED[codes[at + 1]]
+    latin = lambda k: (k == 1) | (k == 2)
+    return at[((own == 3) & (before > 0) & (before != 3) & (after > 0) & (after != 3)) | ((own == 2) & (before == 1)) | ((own == 4) & (latin(before) | latin(after)))]
+
+
+def pair_counts(docs: DataFrame) -> np.ndarray:
+    """Counts over all texts: the pairs in each slot of the two tables, then each character.
 
-    n counts over all texts, once over the distinct ones; clean also leaves out the pairs with a suspect. So garbling
-    becomes probable neither by copies nor by being frequent.
+    Suspects, and characters that stand where writing doesn't have them, are left out with the pairs they are in; so
+    garbling becomes probable neither by copies nor by being frequent.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, totals = np.zeros((3, 2 << BITS), np.int64), np.zeros(3, np.int64)
+        hits = np.zeros((2 << BITS) + CHARS, np.uint32)
         for batch in batches:
-            texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_numpy()
-            codes = _codes(texts)
+            codes = _codes(batch.column("text").to_pylist())
             if len(codes) > 1:
-                sizes = np.array([len(t or "") + 1 for t in texts])
                 at, wide = _wide_pairs(codes)
                 odd = np.zeros(len(codes), np.bool_)
-                odd[_suspects(codes)] = True
-                pairs, which = np.unique(wide, return_inverse=True)
-                sure = which[~(odd[at] | odd[at + 1])]
-                n = (np.bincount(which, np.repeat(copies, sizes)[at], len(pairs)).astype(np.int64), *(np.bincount(x, minlength=len(pairs)) for x in (which, sure)))
+                odd[_suspects(codes)] = odd[_misplaced(codes)] = True
+                pairs, n = np.unique(wide[~(odd[at] | odd[at + 1])], return_counts=True)
                 for slots in _slots(pairs):
-                    for table, some in zip(hits, n):
-                        np.add.at(table, slots, some)
-                totals += [int((sizes * copies).sum()), len(codes), len(codes)]
-        used = np.flatnonzero(hits[0])
-        names = ["slot", "n", "once", "clean"]
-        for at in range(0, len(used), 50_000):
-            part = used[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in hits)], names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([x]) for x in totals.tolist())], names)
+                    np.add.at(hits, slots, n.astype(np.uint32))
+                chars, n = np.unique(codes[~odd], return_counts=True)
+                hits[chars.astype(np.int64) + (2 << BITS)] += n.astype(np.uint32)
+        yield slices(hits)
 
-    counts = docs.groupBy("text").agg(F.count("*").alias("copies")).mapInArrow(count, "slot bigint, n bigint, once bigint, clean bigint")
-    return counts.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n", "once", "clean")))
+    texts = docs.select("text").where("text is not null and text <> ''")
+    return summed(texts.mapInArrow(count, ROWS), (2 << BITS) + CHARS)
 
 
 class PairModel:
-    """Log probabilities of adjacent characters, from the counts of the whole corpus."""
+    """Mutual information and log probabilities of adjacent characters, from the counts of the whole corpus."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.table = table
-
+        self.table, self.chars = table[: 2 << BITS], table[2 << BITS :]
+        self.total = max(1.0, float(self.chars.sum()))
+        self.smooth = SMOOTH * math.sqrt(self.total)
         self.known: dict[str, float] = {}
 
     def pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """Log probabilities."""
         one, two = _slots(pairs)
-        return np.minimum(self.table[one], self.table[two])
+        return np.log((np.minimum(self.table[one], self.table[two]) + 0.3) / self.total)
+
+    def information(self, pairs: np.ndarray) -> np.ndarray:
+        """Pointwise mutual information: the log of how much more often a pair occurs than its characters alone would give."""
+        first, second = (self.chars[x.astype(np.int64)] + self.smooth for x in (pairs >> np.uint64(21), pairs & np.uint64((1 << 21) - 1)))
+        return self.pairs(pairs) - np.log(first / self.total) - np.log(second / self.total)
 
     def text(self, text: str) -> float:
-        """Sum over the adjacent pairs, of which each must have a character outside ASCII."""
+        """Sum of the log probabilities of the adjacent pairs, of which each must have a character outside ASCII."""
         total = 0.0
         for k in range(len(text) - 1):
             pair = text[k : k + 2]
@@ -156,19 +193,6 @@ class PairModel:
         return total
 
 
-def pair_tables(docs: DataFrame) -> np.ndarray:
-    """Log probability of the pairs in each slot, one row each: over all texts, if copies count once, and without suspects."""
-    counts, totals = np.zeros((3, 2 << BITS), np.int64), [1, 1, 1]
-    for slot, *n in pair_counts(docs).toLocalIterator():  # at most 2 * 2**BITS + 1 rows
-        if slot < 0:
-            totals = n
-        else:
-            counts[:, slot] = n
-    # what copies add is left out of a pair's own probability, but the total stays: a text isn't probable for its copies
-    sizes = np.array([[totals[0]], [totals[0]], [totals[2]]])
-    return np.log((counts + 0.3) / np.maximum(1, sizes)).astype(np.float32)
-
-
 def runs(positions: np.ndarray, scores: np.ndarray, cost: float = 2.0) -> list[tuple[int, int]]:
     """The maximum-scoring segments (start, end) of a text whose pairs at ``positions`` score; others cost ``cost`` each."""
     out: list[tuple[int, int]] = []
@@ -216,8 +240,8 @@ def _depths(text: str, codec: str) -> Iterator[str]:
 class Undoing:
     """What each inverse mapping makes of a cluster of wide characters between its neighbours; remembered, for speed only."""
 
-    def __init__(self, model: PairModel, once: PairModel, clean: PairModel) -> None:
-        self.model, self.once, self.clean = model, once, clean
+    def __init__(self, model: PairModel) -> None:
+        self.model = model
         self.known: dict[tuple[str, str, str], tuple[dict, dict]] = {}
 
     def __call__(self, left: str, run: str, right: str) -> tuple[dict[str, list], dict[tuple[str, str], tuple[float, str]]]:
@@ -234,13 +258,20 @@ class Undoing:
         for codec in READ_AS:
             for i, j, original in _utf8_undone(run, codec):
                 x, y = (run[i - 1] if i else left), (run[j] if j < len(run) else right)
-                before = self.clean.text(x + run[i:j] + y) / (j - i + 1)
-                after, original = max((self.clean.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
+                before = self.model.text(x + run[i:j] + y) / (j - i + 1)
+                after, original = max((self.model.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
                 out.setdefault(codec, []).append((i, j, original, after - before))
+        for codec in READ_WIDE if len(run) > 1 and max(run) >= "⺀" else ():
+            try:
+                original = run.encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            gain = self.model.text(left + original + right) / (len(original) + 1) - self.model.text(left + run + right) / (len(run) + 1)
+            out[codec] = [(0, len(run), original, gain)]
         return out
 
     def _swaps(self, left: str, run: str, right: str) -> dict[tuple[str, str], tuple[float, str]]:
-        out, before = {}, self.once.text(left + run + right)
+        out, before = {}, self.model.text(left + run + right)
         for codec in READ_AS:
             known = _MAPS[codec]
             if all(c in known for c in run):
@@ -334,26 +365,25 @@ def _ahead(text: str, at: int) -> int:
 def garbled(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, mapping, n_lost, restored) of the documents whose text was decoded with a wrong character set.
 
-    Adjacent characters are scored by how rare the pair is in all texts; maximum-scoring segments are the improbable
+    Adjacent characters are scored by their mutual information in all texts; maximum-scoring segments are the improbable
     runs, and only inside them inverse mappings are tried: UTF-8 that was read in another set, once or several times,
-    and one set read as another. A mapping counts if it makes the run more probable. Copies of a text count once for
-    what it has. Stretches that are valid UTF-8 as some set reads it, and replacement characters, are looked at however
-    frequent they are, and scored by the pairs outside such stretches; so garbling can't vouch for itself. One set read
-    as another has no such form: at a large share of different texts it counts as normal. Replacement characters can't be
-    undone: n_lost counts them, and restored is the text with everything else undone. Characters that stand between
-    quotation marks on their own are quoted, not garbled. Null and empty texts have no rows; doc_id is passed on as it
-    is. The model is a table of fixed size, broadcast; the operator itself is narrow.
+    and one set read as another. A mapping counts if it makes the run more probable. The statistics leave out stretches
+    that are valid UTF-8 as some set reads it, replacement characters, and characters where writing doesn't have them;
+    so garbling can't vouch for itself, by copies or by being frequent, and the first two are looked at in any case.
+    Replacement characters can't be undone: n_lost counts them, and restored is the text with everything else undone.
+    Characters that stand between quotation marks on their own are quoted, not garbled. Null and empty texts have no
+    rows; doc_id is passed on as it is. The model is a table of fixed size, broadcast; the operator itself is narrow.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pair_tables(docs))
+    table = docs.sparkSession.sparkContext.broadcast(pair_counts(docs).astype(np.float32))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, own, clean = (PairModel(t) for t in table.value)
-        undo = Undoing(every, own, clean)
+        model = PairModel(table.value)
+        undo = Undoing(model)
         for batch in batches:
             ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             codes = _codes(texts)
             at, pairs = _wide_pairs(codes)
-            scores = SURPRISE - own.pairs(pairs)
+            scores = SURPRISE - model.information(pairs)
             starts = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
             first = np.searchsorted(at, starts)
             odd = np.add.reduceat(np.append(scores > 0, False), np.minimum(first[:-1], len(scores))) if len(scores) else np.zeros(len(texts))

@@ -12,23 +12,56 @@ from quern.operators.order import running_total
 from quern.runtime import Stash
 
 SLOTS = 65_536
+MAX_SOURCES = 100_000
+"""More target sources are refused; they are a parameter, not data."""
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, int]:
-    """(source, target_share, max_repeats, weight, n_docs, n_tokens, passes) for every target, and the budget.
+def finish_time(sources: list[tuple[float, float]], budget: float) -> float:
+    """The virtual time at which sources (weight, tokens in all passes) have sent the budget together.
 
-    A source without tokens has weight null; the weights of the others sum to 1. Without ``total_tokens`` the budget
-    is the largest at which every source can give its share within its repeats.
+    A source sends its weight a unit of time until it runs out; the others then go on, so they make up for it.
     """
+    weight, sent, time = sum(w for w, _ in sources), 0.0, 0.0
+    for w, supply in sorted(sources, key=lambda x: x[1] / x[0]):
+        out = supply / w
+        if sent + weight * (out - time) >= budget:
+            break
+        sent, time, weight = sent + weight * (out - time), out, weight - w
+    else:
+        return time
+    return time + (budget - sent) / weight
+
+
+def _wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, weight, n_docs, n_tokens) for every target; the weights of usable sources sum to 1."""
     want = targets.groupBy(label("source").alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     rows = want.join(have, "source", "left").na.fill(0, ["n_docs", "n_tokens", "target_share", "max_repeats"])
     usable = (F.col("n_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     share = F.sum(F.when(usable, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))
-    rows = rows.withColumn("weight", F.when(usable, F.col("target_share") / share))
+    return rows.withColumn("weight", F.when(usable, F.col("target_share") / share))
+
+
+def exact_budget(sizes: DataFrame, targets: DataFrame) -> int:
+    """The largest total at which every source with documents can give its target share within its repeats."""
+    rows = _wanted(sizes, targets)
+    return math.floor(rows.agg(F.min(F.col("n_tokens") * F.col("max_repeats") / F.col("weight"))).first()[0] or 0)
+
+
+def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, int]:
+    """(source, target_share, max_repeats, weight, n_docs, n_tokens, passes) for every target, and the budget.
+
+    A source without tokens has weight null; the weights of the others sum to 1. Without ``total_tokens`` the budget
+    is what the usable sources hold in all, once.
+    """
+    rows = _wanted(sizes, targets)
+    found = rows.where("weight is not null").select("weight", "n_tokens", "max_repeats").limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     if total_tokens is None:
-        total_tokens = math.floor(rows.agg(F.min(F.col("n_tokens") * F.col("max_repeats") / F.col("weight"))).first()[0] or 0)
-    need = F.ceil(F.lit(total_tokens) * F.col("weight") / F.col("n_tokens")) + 1
+        total_tokens = sum(r["n_tokens"] for r in found)
+    end = finish_time([(r["weight"], r["n_tokens"] * r["max_repeats"]) for r in found], total_tokens)
+    need = F.ceil(F.lit(float(end)) * F.col("weight") / F.col("n_tokens")) + 1
     return rows.withColumn("passes", F.least(F.col("max_repeats"), need).cast("int")), total_tokens
 
 
@@ -42,8 +75,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
 
     sizes: (doc_id, source, n_tokens); targets: (source, target_share, max_repeats). Every copy of a document gets the
     virtual time at which its source has sent it: the source's tokens so far, in shuffled order, over its weight. The
-    copies are sorted by that time and cut off where the next would exceed the budget. Documents of other sources, with
-    a null doc_id or without tokens aren't used; a null source is none. All copies of a pass come before the next pass.
+    copies are sorted by that time and cut off where the next would exceed the budget, which is ``total_tokens`` or else
+    what the target sources hold in all. A source whose repeats are used up falls short of its share, and the others
+    make up for it in proportion to their weights; the report has the shares reached. Up to exact_budget none falls
+    short. Documents of other sources, with a null doc_id or without tokens aren't used; a null source is none. All
+    copies of a pass come before the next pass.
     report: (source, target_share, reached_share, n_tokens, n_docs, most_copies), with zeros for what isn't there.
     """
     stash = Stash(sizes.sparkSession)

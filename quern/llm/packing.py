@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -44,26 +45,25 @@ def divide(sizes: DataFrame, capacity: int) -> DataFrame:
     return rows.select("doc_id", "part", "n_parts", F.least(F.lit(capacity), F.col("n") - F.col("at") * F.lit(capacity)).cast("int").alias("n_tokens"))
 
 
-def _bins(src: int, groups: list[tuple[int, list[dict]]], capacity: int, limit: float, carry: int) -> pa.RecordBatch:
-    """Bins of the groups (fill, members); at most ``carry`` underfull ones, with the most room, are left open."""
+def _bins(src: int, groups: list[tuple[int, list[dict]]], capacity: int, limit: float) -> pa.RecordBatch:
+    """Best-fit bins of the groups (fill, members); those below the limit stay open."""
     made = [(fill, [m for i in index for m in groups[i][1]]) for fill, index in best_fit([(g[0], i) for i, g in enumerate(groups)], capacity)]
-    made.sort(key=lambda b: b[0])
-    rows = [{"src": src, "done": k >= carry or fill >= limit, "fill": fill, "members": members} for k, (fill, members) in enumerate(made)]
+    rows = [{"src": src, "done": fill >= limit, "fill": fill, "members": members} for fill, members in made]
     member = pa.struct([("doc_id", pa.int64()), ("part", pa.int32()), ("n_parts", pa.int32()), ("n_tokens", pa.int32())])
     schema = pa.schema([("src", pa.int32()), ("done", pa.bool_()), ("fill", pa.int32()), ("members", pa.list_(member))])
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-def pack(sizes: DataFrame, capacity: int = 1024, nearly_full: float = 0.98, carry: int = 2048) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 1024, nearly_full: float = 0.98, room: int = 16_384) -> DataFrame:
     """Rows (container, doc_id, part, n_parts, n_tokens): every document in containers of at most ``capacity`` tokens.
 
-    sizes: (doc_id, n_tokens), doc_id unique. Each partition packs its own items best-fit and closes the nearly full
-    bins; the underfull ones travel up a tree, FAN_IN partitions at a time, as items of a further best-fit round. A
-    partition hands on at most ``carry`` bins, those with the most room, so no task holds more than FAN_IN * carry of
-    them whatever the sizes; best-fit leaves at most one bin half empty, so the others can only take that one in.
-    Nothing is left out: what isn't handed on is closed as it is. Only a document larger than the capacity is divided.
-    Sizes of null or 0 take no room but have a container. Rows without doc_id are left out; an empty table gives none.
-    The container is named by its least member. Other columns are ignored.
+    sizes: (doc_id, n_tokens), doc_id unique. Each partition packs its own items best-fit, 100,000 at a time, and closes
+    the nearly full bins. The underfull ones are the items of further best-fit rounds up a tree: each round packs them
+    in a FAN_IN-th of the groups, but in no fewer than keep a group at about ``room`` bins, so that no task grows with
+    the data. The rounds end with a single group, or when groups of that size close or join less than a hundredth of the
+    open bins; every open bin takes part in every round. Only a document larger than the capacity is divided. Sizes of
+    null or 0 take no room but have a container. Rows without doc_id are left out; an empty table gives none. The
+    container is named by its least member. Other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
@@ -73,22 +73,37 @@ def pack(sizes: DataFrame, capacity: int = 1024, nearly_full: float = 0.98, carr
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        items = [m for batch in batches for m in batch.select(list(FIELDS)).to_pylist()]
-        out = _bins(TaskContext.get().partitionId(), [(m["n_tokens"], [m]) for m in items], capacity, limit, carry)
-        for at in range(0, len(out), 20_000):
-            yield out.slice(at, 20_000)
+        def closed() -> Iterator[pa.RecordBatch]:
+            out = _bins(TaskContext.get().partitionId(), [(m["n_tokens"], [m]) for m in items], capacity, limit)
+            for at in range(0, len(out), 20_000):
+                yield out.slice(at, 20_000)
+
+        items: list[dict] = []
+        for batch in batches:
+            items += batch.select(list(FIELDS)).to_pylist()
+            if len(items) >= 100_000:
+                yield from closed()
+                items = []
+        yield from closed()
 
     def merge(key: tuple, bins: pa.Table) -> pa.Table:
         groups = [(r["fill"], r["members"]) for r in bins.select(["fill", "members"]).to_pylist()]
         groups.sort(key=lambda g: (g[0], g[1][0]["doc_id"], g[1][0]["part"]))
-        return pa.Table.from_batches([_bins(key[0].as_py(), groups, capacity, limit, carry)])
+        return pa.Table.from_batches([_bins(key[0].as_py(), groups, capacity, limit)])
 
     level = stash.put(divide(sizes, capacity).mapInArrow(local, BINS))
     rows = level.where("done")
-    while (top := level.where("not done").agg(F.max("src")).first()[0]) is not None and top > 0:
-        ups = level.where("not done").select(F.floor(F.col("src") / FAN_IN).cast("int").alias("src"), "fill", "members")
-        level = stash.put(ups.groupBy("src").applyInArrow(merge, BINS))
+    state = level.where("not done").agg(F.count("*"), F.max("src")).first()
+    n_open, groups = state[0], (state[1] or 0) + 1
+    while n_open and groups > 1:
+        before, groups = (n_open, groups), max(math.ceil(n_open / room), math.ceil(groups / FAN_IN))
+        first = F.col("members")[0]
+        group = F.pmod(F.xxhash64(first["doc_id"], first["part"], F.lit(before[1])), F.lit(groups)).cast("int")
+        level = stash.put(level.where("not done").select(group.alias("src"), "fill", "members").groupBy("src").applyInArrow(merge, BINS))
         rows = rows.unionByName(level.where("done"))
+        n_open = level.where("not done").count()
+        if groups >= before[1] and n_open > 0.99 * before[0]:
+            break
     rows = rows.unionByName(level.where("not done"))
     least = F.array_min(F.transform("members", lambda m: F.struct(m["doc_id"].alias("doc_id"), m["part"].alias("part"))))
     name = F.concat_ws("-", least["doc_id"], least["part"]).alias("container")

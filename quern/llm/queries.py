@@ -98,9 +98,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sizes(spark, sf_dir)))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
     sizes = tokens.sliced_sizes(table(spark, sf_dir, "documents"), _lab(spark, sf_dir))
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+    if not exact:
+        return mixing.mix(sizes, targets)
+    sizes = Stash(spark).put(sizes)
+    return mixing.mix(sizes, targets, mixing.exact_budget(sizes, targets))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +115,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which no source falls short of its share."""
+    return _mix(spark, sf_dir, exact=True)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -119,7 +128,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p9_exact_shares, p10_found, p10_restored)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
@@ -160,22 +169,28 @@ _OVERLAPS = r"""n AS (SELECT DISTINCT 'e' AS side, id, trim(regexp_replace(lower
         g AS (SELECT side, id, list_distinct(list_transform(range(1, length(q) - 1), lambda i: q[i:i + 2])) AS g FROM n WHERE length(q) >= 3),
         x AS (SELECT side, id, len(g) AS k, unnest(g) AS t FROM g),
         p AS (SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.side = 'e' AND b.side = 't' GROUP BY ALL)"""
-_MIX = f"""{_SLICED},
+def _mix_sql(budget: str) -> str:
+    return f"""{_SLICED},
         sz AS (SELECT doc_id, source, n FROM sl WHERE n > 0),
         tg AS (SELECT {_label('source')} AS source, sum(target_share) AS share, max(max_repeats) AS reps FROM mix_targets GROUP BY 1),
         hv AS (SELECT tg.*, coalesce(h.n, 0) AS n FROM tg LEFT JOIN (SELECT source, sum(n) AS n FROM sz GROUP BY source) h ON h.source = tg.source),
         wt AS (SELECT *, CASE WHEN n > 0 AND share > 0 AND reps > 0 THEN share / sum(share) FILTER (n > 0 AND share > 0 AND reps > 0) OVER () END AS w FROM hv),
-        bu AS (SELECT floor(min(n * reps / w)) AS budget FROM wt),
-        ps AS (SELECT source, w, n AS total, unnest(range(1, CAST(least(reps, ceil(budget * w / n) + 1) AS BIGINT) + 1)) AS copy FROM wt, bu WHERE w IS NOT NULL),
+        bu AS (SELECT {budget} AS budget FROM wt WHERE w IS NOT NULL),
+        ps AS (SELECT source, w, n AS total, unnest(range(1, reps + 1)) AS copy FROM wt WHERE w IS NOT NULL),
         cp AS (SELECT sz.doc_id, sz.source, sz.n, ps.copy, ps.w, ps.total, CAST('0x' || substr(sha256(concat_ws(':', '42', ps.copy, sz.doc_id)), 1, 15) AS BIGINT) AS h FROM sz JOIN ps ON ps.source = sz.source),
         fi AS (SELECT *, (sum(n) OVER (PARTITION BY source, copy ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) + (copy - 1) * total) / w AS finish FROM cp),
         ru AS (SELECT *, sum(n) OVER (ORDER BY finish, source, doc_id, copy ROWS UNBOUNDED PRECEDING) AS run FROM fi),
         mx AS (SELECT source, doc_id, copy, n, finish FROM ru, bu WHERE run <= budget)"""
 
+
+_MIX, _EXACT = _mix_sql("sum(n)"), _mix_sql("floor(min(n * reps / w))")
+_SHARES = """, us AS (SELECT source, sum(n) AS n, count(DISTINCT doc_id) AS d, max(copy) AS c FROM mx GROUP BY source)
+        SELECT wt.source, wt.share AS target_share, coalesce(round(us.n / (SELECT sum(n) FROM us), 6), 0.0::DOUBLE) AS reached_share, CAST(coalesce(us.n, 0) AS BIGINT) AS n_tokens, coalesce(us.d, 0) AS n_docs, coalesce(us.c, 0) AS most_copies FROM wt LEFT JOIN us ON us.source = wt.source"""
+
 SQL = {
     "p9_mix": f"WITH {_MIX} SELECT source, doc_id, copy, n AS n_tokens, round(finish, 3) AS finish FROM mx",
-    "p9_shares": f"""WITH {_MIX}, us AS (SELECT source, sum(n) AS n, count(DISTINCT doc_id) AS d, max(copy) AS c FROM mx GROUP BY source)
-        SELECT wt.source, wt.share AS target_share, coalesce(round(us.n / (SELECT sum(n) FROM us), 6), 0.0::DOUBLE) AS reached_share, CAST(coalesce(us.n, 0) AS BIGINT) AS n_tokens, coalesce(us.d, 0) AS n_docs, coalesce(us.c, 0) AS most_copies FROM wt LEFT JOIN us ON us.source = wt.source""",
+    "p9_shares": f"WITH {_MIX}{_SHARES}",
+    "p9_exact_shares": f"WITH {_EXACT}{_SHARES}",
     "p2_report": f"""WITH {_OVERLAPS}, f AS (SELECT a AS id, count(DISTINCT b) AS n, max(c = ka AND c = kb) AS same FROM p WHERE c * 4 >= 3 * (ka + kb - c) GROUP BY a),
         o AS (SELECT id, min(metadata.split) AS split, min(metadata.source) AS source FROM eval WHERE id IS NOT NULL GROUP BY id)
         SELECT o.split, o.source, count(*) AS n_records, count(f.n) AS n_overlapping, count(*) FILTER (f.same) AS n_exact, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_pairs FROM o LEFT JOIN f ON f.id = o.id GROUP BY o.split, o.source""",

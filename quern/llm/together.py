@@ -10,6 +10,8 @@ from quern.runtime import Stash, join_unique
 
 BLANKS = " \t\r\n"
 NO_AUTHOR = "unknown"
+MAX_SPLITS = 1000
+"""More splits are refused; they are a parameter, not data."""
 
 
 def record_keys(records: DataFrame) -> DataFrame:
@@ -59,13 +61,13 @@ def split_ranges(shares: DataFrame) -> DataFrame:
 def assign_splits(groups: DataFrame, shares: DataFrame, seed: int = 42) -> DataFrame:
     """Rows (id, group_id, split): a group goes to the split in whose range its hash falls.
 
-    shares: (split, share), a small table. Related records never part; the proportions hold over groups, so a group
+    shares: (split, share), of at most MAX_SPLITS rows with a share; more are refused. Related records never part; the proportions hold over groups, so a group
     that holds a large part of all records moves them by as much, which split_report shows.
     """
     point = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "group_id"), 256), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-    ranges = [(r["split"], r["high"]) for r in split_ranges(shares).orderBy("high").limit(1000).collect()]
-    if not ranges:
-        raise ValueError("no split has a share")
+    ranges = [(r["split"], r["high"]) for r in split_ranges(shares).orderBy("high").limit(MAX_SPLITS + 1).collect()]
+    if not ranges or len(ranges) > MAX_SPLITS:
+        raise ValueError(f"splits with a share must number 1 to {MAX_SPLITS}")
     split = F.lit(ranges[-1][0])
     for name, high in reversed(ranges[:-1]):
         split = F.when(point < high, name).otherwise(split)

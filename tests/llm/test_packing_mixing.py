@@ -22,11 +22,11 @@ def packed(spark, sizes, parts=6, **options):
     return packing.pack(frame, **options)
 
 
-@pytest.mark.parametrize("carry", [2048, 1])
-def test_every_token_has_a_place(spark, carry):
+@pytest.mark.parametrize("room", [16_384, 10])
+def test_every_token_has_a_place(spark, room):
     rng = random.Random(5)
     sizes = [rng.choice([0, 1, 3, 40, 99, 100, 101, 250, 1000]) for _ in range(400)] + [None]
-    rows = packed(spark, sizes, parts=20, capacity=100, carry=carry).collect()
+    rows = packed(spark, sizes, parts=20, capacity=100, room=room).collect()
     fill, parts = defaultdict(int), defaultdict(list)
     for r in rows:
         fill[r["container"]] += r["n_tokens"]
@@ -45,8 +45,15 @@ def test_little_room_is_left(spark):
 
 
 def test_equal_halves_that_can_t_be_joined(spark):
-    rows = packed(spark, [60] * 500, parts=10, capacity=100).collect()
-    assert len({r["container"] for r in rows}) == 500
+    for room in (16_384, 20):
+        rows = packed(spark, [60] * 500, parts=10, capacity=100, room=room).collect()
+        assert len({r["container"] for r in rows}) == 500
+
+
+def test_small_groups_pack_nearly_as_well(spark):
+    rng = random.Random(2)
+    sizes = [rng.randint(200, 700) for _ in range(3000)]
+    assert packing.fill_report(packed(spark, sizes, parts=12, room=200)).first()["used_share"] > 0.96
 
 
 def test_nothing_to_pack(spark):
@@ -64,7 +71,8 @@ def test_mix_reaches_the_shares(spark):
     rng = random.Random(8)
     sizes = [(i, "abc"[min(2, i % 7)], rng.randint(50, 150), "x") for i in range(7000)] + [(9001, None, 5, "x"), (9002, "other", 5, "x"), (9003, "a", None, "x"), (9004, "b", 0, "x")]
     targets = spark.createDataFrame([("A ", 0.5, 3), ("b", 0.2, 2), ("c", 0.2, 1), ("gone", 0.1, 4)], TARGETS)
-    mix, report = mixing.mix(spark.createDataFrame(sizes, SIZES), targets)
+    frame = spark.createDataFrame(sizes, SIZES)
+    mix, report = mixing.mix(frame, targets, mixing.exact_budget(frame, targets))
     rows = mix.collect()
     assert [r["finish"] for r in rows] == sorted(r["finish"] for r in rows)
     assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
@@ -78,6 +86,18 @@ def test_mix_reaches_the_shares(spark):
     assert best - 1000 < sum(r["n_tokens"] for r in rows) <= best
 
 
+def test_a_source_that_runs_out_is_made_up_for(spark):
+    """Half of the mix is wanted from a tenth of the documents, twice at most; the others share what it lacks, 3 to 2."""
+    sizes = [(i, "a" if i % 10 == 0 else "bc"[i % 2], 10, "x") for i in range(10_000)] + [(-1, "d", 10, "x")]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 5)], TARGETS)
+    mix, report = mixing.mix(spark.createDataFrame(sizes, SIZES), targets)
+    shares = {r["source"]: r for r in report.collect()}
+    assert mix.agg({"n_tokens": "sum"}).first()[0] == 100_000 == sum(r["n_tokens"] for r in shares.values())
+    assert shares["a"]["n_tokens"] == 20_000 and shares["a"]["most_copies"] == 2 and shares["a"]["reached_share"] == 0.2
+    assert shares["b"]["n_tokens"] == min(40_000, 48_000) and shares["c"]["n_tokens"] == 40_000
+    assert mixing.finish_time([(0.5, 10), (0.5, 100)], 50) == pytest.approx(80) and mixing.finish_time([(1.0, 5)], 9) == 5
+
+
 def test_mix_to_a_budget(spark):
     sizes = spark.createDataFrame([(i, "ab"[i % 2], 10, "x") for i in range(100)], SIZES)
     targets = spark.createDataFrame([("a", 0.75, 2), ("b", 0.25, 2)], TARGETS)
