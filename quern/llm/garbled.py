@@ -134,36 +134,38 @@ def _misplaced(codes: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
-    """Counts over all texts: the pairs in each slot of the two tables, then each character.
+    """Counts over all texts: the pairs in each slot of the two tables, without suspects and without misplaced ones; each character.
 
-    Suspects, and characters that stand where writing doesn't have them, are left out with the pairs they are in; so
-    garbling becomes probable neither by copies nor by being frequent.
+    So UTF-8 read wrongly, and one set read as another, become probable neither by copies nor by being frequent.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = np.zeros((2 << BITS) + CHARS, np.uint32)
+        hits = np.zeros((4 << BITS) + CHARS, np.uint32)
         for batch in batches:
             codes = _codes(batch.column("text").to_pylist())
             if len(codes) > 1:
                 at, wide = _wide_pairs(codes)
-                odd = np.zeros(len(codes), np.bool_)
-                odd[_suspects(codes)] = odd[_misplaced(codes)] = True
-                pairs, n = np.unique(wide[~(odd[at] | odd[at + 1])], return_counts=True)
-                for slots in _slots(pairs):
-                    np.add.at(hits, slots, n.astype(np.uint32))
-                chars, n = np.unique(codes[~odd], return_counts=True)
-                hits[chars.astype(np.int64) + (2 << BITS)] += n.astype(np.uint32)
+                for first, marked in ((0, _suspects(codes)), (2 << BITS, _misplaced(codes))):
+                    odd = np.zeros(len(codes), np.bool_)
+                    odd[marked] = True
+                    pairs, n = np.unique(wide[~(odd[at] | odd[at + 1])], return_counts=True)
+                    for slots in _slots(pairs):
+                        np.add.at(hits, slots + first, n.astype(np.uint32))
+                chars, n = np.unique(codes, return_counts=True)
+                hits[chars.astype(np.int64) + (4 << BITS)] += n.astype(np.uint32)
         yield slices(hits)
 
     texts = docs.select("text").where("text is not null and text <> ''")
-    return summed(texts.mapInArrow(count, ROWS), (2 << BITS) + CHARS)
+    return summed(texts.mapInArrow(count, ROWS), (4 << BITS) + CHARS)
 
 
 class PairModel:
     """Mutual information and log probabilities of adjacent characters, from the counts of the whole corpus."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table, self.chars = table[: 2 << BITS], table[2 << BITS :]
+    def __init__(self, table: np.ndarray, without: str) -> None:
+        """``without`` says which pairs the counts leave out: suspects or misplaced ones."""
+        first = {"suspects": 0, "misplaced": 2 << BITS}[without]
+        self.table, self.chars = table[first : first + (2 << BITS)], table[4 << BITS :]
         self.total = max(1.0, float(self.chars.sum()))
         self.smooth = SMOOTH * math.sqrt(self.total)
         self.known: dict[str, float] = {}
@@ -240,8 +242,8 @@ def _depths(text: str, codec: str) -> Iterator[str]:
 class Undoing:
     """What each inverse mapping makes of a cluster of wide characters between its neighbours; remembered, for speed only."""
 
-    def __init__(self, model: PairModel) -> None:
-        self.model = model
+    def __init__(self, table: np.ndarray) -> None:
+        self.model, self.placed = PairModel(table, "suspects"), PairModel(table, "misplaced")
         self.known: dict[tuple[str, str, str], tuple[dict, dict]] = {}
 
     def __call__(self, left: str, run: str, right: str) -> tuple[dict[str, list], dict[tuple[str, str], tuple[float, str]]]:
@@ -261,7 +263,7 @@ class Undoing:
                 before = self.model.text(x + run[i:j] + y) / (j - i + 1)
                 after, original = max((self.model.text(x + o + y) / (len(o) + 1), o) for o in _depths(original, codec))
                 out.setdefault(codec, []).append((i, j, original, after - before))
-        for codec in READ_WIDE if len(run) > 1 and max(run) >= "⺀" else ():
+        for codec in READ_WIDE if max(run) >= "⺀" else ():
             try:
                 original = run.encode(codec).decode("utf-8")
             except UnicodeError:
@@ -271,14 +273,16 @@ class Undoing:
         return out
 
     def _swaps(self, left: str, run: str, right: str) -> dict[tuple[str, str], tuple[float, str]]:
-        out, before = {}, self.model.text(left + run + right)
+        if run.isspace():
+            return {}
+        out, before = {}, self.placed.text(left + run + right)
         for codec in READ_AS:
             known = _MAPS[codec]
             if all(c in known for c in run):
                 for really in REALLY:
                     original = "".join(_CHARS[really][known[c]] for c in run)
                     if really != codec and original != run:
-                        out[codec, really] = (self.model.text(left + original + right) - before, original)
+                        out[codec, really] = (self.placed.text(left + original + right) - before, original)
         return out
 
 
@@ -322,7 +326,7 @@ def _repair(text: str, spans: list[tuple[int, int]], undo: Undoing) -> tuple[str
         for a, b in clusters([(0, len(text))]):
             edits += [(a + i, a + j, original) for i, j, original, gain in undone(a, b)[0].get(codec, ()) if gain >= -GAIN_UTF8]
     else:
-        for pair in sorted(swapped, key=lambda p: (-swapped[p], p)):
+        for pair in sorted(swapped, key=lambda p: (-swapped[p], REALLY.index(p[1]), p)):
             if swapped[pair] < GAIN_TEXT:
                 break
             found = [(a, b, *undone(a, b)[1].get(pair, (-1.0, ""))) for a, b in clusters([(0, len(text))])]
@@ -377,13 +381,12 @@ def garbled(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(pair_counts(docs).astype(np.float32))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PairModel(table.value)
-        undo = Undoing(model)
+        undo = Undoing(table.value)
         for batch in batches:
             ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             codes = _codes(texts)
             at, pairs = _wide_pairs(codes)
-            scores = SURPRISE - model.information(pairs)
+            scores = SURPRISE - undo.placed.information(pairs)
             starts = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
             first = np.searchsorted(at, starts)
             odd = np.add.reduceat(np.append(scores > 0, False), np.minimum(first[:-1], len(scores))) if len(scores) else np.zeros(len(texts))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import defects, garbled
@@ -120,6 +121,20 @@ def test_twice_garbled_and_lost(spark):
     assert got[900]["restored"] == PLAIN[0] and got[901]["n_lost"] == 8 and got[902]["restored"].endswith(PLAIN[0])
 
 
+def test_garbled_through_sets_of_two_bytes(spark):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(901, "Le classeur répète les données égarées".encode().decode("gbk"))]
+    got = {r["doc_id"]: (r["mapping"], r["restored"]) for r in garbled.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {901: ("utf-8 as gbk", "Le classeur répète les données égarées")}
+
+
+def test_rare_pairs_of_rare_characters_are_no_information(spark):
+    """Without smoothing, characters that only garbled text has would have the highest mutual information of all."""
+    rows = [(i, t) for i, t in enumerate(texts())] + [(900 + i, PLAIN[0].encode().decode("latin-1")) for i in range(5)]
+    model = garbled.PairModel(garbled.pair_counts(spark.createDataFrame(rows, "doc_id bigint, text string")), "suspects")
+    pair = lambda p: np.array([(ord(p[0]) << 21) | ord(p[1])], np.uint64)
+    assert model.information(pair("Ã©"))[0] < garbled.SURPRISE < model.information(pair("ré"))[0]
+
+
 def test_nothing_garbled(spark):
     assert garbled.garbled(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert garbled.garbled(spark.createDataFrame([(1, "plain")], "doc_id bigint, text string")).count() == 0
@@ -135,7 +150,8 @@ def test_frequent_garbling_is_no_normal_text(spark, wrong):
     swapped = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, PLAIN[1].encode("cp1252").decode("mac_roman")) for i in range(len(base) // 2)]
     rng = random.Random(5)
     source = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, f"{i} " + " ".join(rng.choices(PLAIN[:3], k=2)).encode().decode(wrong, "replace")) for i in range(len(base) // 2)]
-    for rows in (copies, lost, swapped, source):
+    others = [(i, t) for i, t in enumerate(base)] + [(10_000 + i, f"{i} " + " ".join(rng.choices(PLAIN[:3], k=2)).encode("cp1252").decode("mac_roman")) for i in range(len(base) // 2)]
+    for rows in (copies, lost, swapped, source, others):
         found = garbled.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
         assert {r["doc_id"] for r in found} == {i for i, _ in rows if i >= 10_000}
         if rows is copies:
