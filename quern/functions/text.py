@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,23 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), OTHERS, " "))
 
 
+#: What folding changes in a lower-cased text, by rule: every character whose folded form isn't its lower-case form.
+FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).lower() == chr(c) != chr(c).casefold()}
+_SINGLE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """The text with its case folded, as comparing without case needs it; texts without special characters take the short way."""
+    low = F.lower(text)
+    single = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
+    full = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(_SEVERAL[c])), _SEVERAL, single)
+    return F.when(low.rlike(f"[{''.join(FOLDED)}]"), full).otherwise(low)
+
+
 def question_key(question: Column) -> Column:
-    """Folded case and single blanks, punctuation kept: what questions are compared by. Folding covers ß, not the other rare cases."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(question), F.lit("ß"), F.lit("ss")), SPACES, " "))
+    """Folded case and single blanks, punctuation kept: what questions are compared by."""
+    return F.trim(F.regexp_replace(folded(question), SPACES, " "))
 
 
 def words_of(normalized: Column) -> Column:
@@ -83,4 +99,5 @@ def lenient_json(text: Column) -> Column:
 
 SQL_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 SQL_NORMAL = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')"
-SQL_KEY = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '" + SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), ' ')"
+_SQL_FOLDED = reduce(lambda x, c: f"replace({x}, '{c}', '{_SEVERAL[c]}')", _SEVERAL, f"translate(lower({{0}}), '{''.join(_SINGLE)}', '{''.join(_SINGLE.values())}')")
+SQL_KEY = f"trim(regexp_replace(CASE WHEN regexp_matches(lower({{0}}), '[{''.join(FOLDED)}]') THEN {_SQL_FOLDED} ELSE lower({{0}}) END, '" + SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), ' ')"

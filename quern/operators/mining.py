@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from quern.operators.order import running_total
 from quern.operators.records import clean_ids, raft_problems
 from quern.runtime import Stash
 
+STRIDES = 1024
+"""How many different strides there are at most."""
+
 
 def hard_negatives(rankings: DataFrame, relevant: DataFrame, count: int) -> DataFrame:
     """(query_id, doc_id, rank, score, nth): the first ``count`` documents of each full ranking that aren't relevant.
@@ -30,18 +36,22 @@ def shuffled_positions(documents: DataFrame, seed: int) -> DataFrame:
 def random_negatives(examples: DataFrame, documents: DataFrame, relevant: DataFrame, count: int, seed: int = 42) -> DataFrame:
     """(query_id, doc_id, nth): ``count`` documents for each example, none of them relevant, or all there are.
 
-    The documents stand on a ring in the order of their hashes; an example starts at a place given by its own hash and
-    takes the next documents, passing over relevant ones. So no example meets the whole corpus.
+    The documents stand on a ring in the order of their hashes. An example starts at a place given by its own hash, and
+    walks on by a stride given by another one that has no divisor in common with the ring's size; so it meets no document
+    twice, and examples that start side by side part. Relevant documents are passed over; no example meets the whole corpus.
     """
     stash = Stash(documents.sparkSession)
     ring = stash.put(shuffled_positions(documents, seed))
     n = ring.count()
     own = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     start = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "id"), 256), 1, 12), 16, 10).cast("bigint") % F.lit(max(1, n))
-    asked = examples.select(F.col("id").alias("query_id"), start.alias("start")).join(own, "query_id", "left")
+    steady = list(islice((x for x in range(1, max(2, n + 1)) if math.gcd(x, n) == 1), STRIDES)) or [1]
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("stride"), "id"), 256), 1, 12), 16, 10).cast("bigint") % F.lit(len(steady))
+    stride = F.element_at(F.array(*map(F.lit, steady)), (pick + 1).cast("int")).cast("bigint")
+    asked = examples.select(F.col("id").alias("query_id"), start.alias("start"), stride.alias("stride")).join(own, "query_id", "left")
     steps = F.least(F.lit(n), F.lit(count) + F.coalesce("n_relevant", F.lit(0))).cast("int")
-    asked = asked.select("query_id", "start", F.explode(F.when(steps > 0, F.sequence(F.lit(0), steps - 1))).alias("step"))
-    met = asked.withColumn("place", (F.col("start") + F.col("step")) % F.lit(max(1, n))).join(ring, "place")
+    asked = asked.select("query_id", "start", "stride", F.explode(F.when(steps > 0, F.sequence(F.lit(0), steps - 1))).alias("step"))
+    met = asked.withColumn("place", (F.col("start") + F.col("step") * F.col("stride")) % F.lit(max(1, n))).join(ring, "place")
     met = met.join(relevant.distinct(), ["query_id", "doc_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("step"))
     return met.withColumn("nth", nth).where(F.col("nth") <= count).select("query_id", "doc_id", "nth")

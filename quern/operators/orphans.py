@@ -2,7 +2,7 @@
 
 The state is keyed by what a reference points to. New references probe the parent index; parents that arrive or change
 are joined with the references that wait for them, so an arrival resolves orphans and a deletion reopens references.
-A batch therefore costs its own size plus the references of the parents that it touches.
+In streams the state lies in buckets, and a batch reads and writes only those that its ids fall into.
 """
 
 from __future__ import annotations

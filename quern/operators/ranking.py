@@ -76,7 +76,8 @@ class BM25(Retriever):
         df = self.counts.groupBy("term").agg(F.count("*").alias("df"))
         raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).first()[0]
-        self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
+        self.common = EPSILON * (mean or 0.0)  # the idf of terms in more than half of the documents
+        self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(self.common)).otherwise(F.col("raw")).alias("idf"))
         return self
 
     def scores(self, queries: DataFrame) -> DataFrame:
@@ -87,63 +88,179 @@ class BM25(Retriever):
         weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         return found.groupBy("query_id", F.col("id").alias("doc_id"), "pos").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
-    def rank(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """Documents without a common term score 0 and fill up in their order, as far as a query has fewer than k better ones."""
-        positive = self.stash.put(top_k(self.scores(queries).where(F.round("score", 9) > 0), k))
-        short = queries.select(F.col("id").alias("query_id")).distinct().join(positive.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
-        first = self.documents.orderBy("pos").limit(2 * k).select(F.col("id").alias("doc_id"), "pos")  # enough, as fewer than k are taken
-        filled = short.crossJoin(F.broadcast(first)).join(positive, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        everything = positive.drop("rank").unionByName(filled.select("query_id", "doc_id", "score", "pos"))
-        return top_k(everything, k).drop("pos")
+    def rank(self, queries: DataFrame, k: int = 5, excluded: DataFrame | None = None) -> DataFrame:
+        """The k best documents of each query. Those without a common term score 0 and stand, in their order, behind
+        positive scores and before negative ones.
+
+        Pairs (query_id, doc_id) that are ``excluded`` are passed over; the others keep their ranks among all documents.
+        Scores can only be negative if the mean idf is, which takes a corpus whose words mostly stand in more than half
+        of its documents.
+        """
+        pair = ["query_id", "doc_id"]
+        scored = self.scores(queries)
+        scored = self.stash.put(scored) if self.common <= 0 else scored
+        banned = None if excluded is None else self.stash.put(excluded.select(*pair).distinct())
+        kept = scored if banned is None else scored.join(banned, pair, "left_anti")
+        sign = F.signum(F.round("score", 9))
+        positive = self.stash.put(top_k(kept.where(sign > 0), k)).drop("rank")
+        full = positive.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        short = self.stash.put(queries.select(F.col("id").alias("query_id")).distinct().join(full, "query_id", "left_anti"))
+        taken = positive.select(*pair)
+        taken = taken.unionByName(scored.where(sign < 0).select(*pair)) if self.common <= 0 else taken
+        taken = taken if banned is None else taken.unionByName(banned)
+        # as many of the first documents as a query that needs them can have taken, and k more
+        most = k if self.common > 0 and banned is None else taken.join(short, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+        first = self.documents.orderBy("pos").limit(k + most).select(F.col("id").alias("doc_id"), "pos")
+        filled = short.crossJoin(first).join(taken, pair, "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"), "pos")
+        everything = positive.unionByName(top_k(filled, k).drop("rank").select("query_id", "doc_id", "score", "pos"))
+        if self.common <= 0:
+            negative = kept.where(sign < 0).join(short, "query_id", "left_semi")
+            everything = everything.unionByName(top_k(negative, k).drop("rank").select("query_id", "doc_id", "score", "pos"))
+        best = top_k(everything, k)
+        if banned is None:
+            return best.drop("pos")
+        best = self.stash.put(best)
+        places = banned.join(self.documents.select(F.col("id").alias("doc_id"), F.col("pos").alias("_pos")), "doc_id")
+        places = places.join(scored.select(*pair, F.col("score").alias("_score")), pair, "left").select("query_id", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("_score"), "_pos")
+        before = (F.col("_score") > F.round("score", 9)) | ((F.col("_score") == F.round("score", 9)) & (F.col("_pos") < F.col("pos")))
+        ahead = best.join(places, "query_id").where(before).groupBy(*pair).agg(F.count("*").alias("_ahead"))
+        ranked = best.join(ahead, pair, "left").withColumn("rank", (F.col("rank") + F.coalesce("_ahead", F.lit(0))).cast("int"))
+        return ranked.select("query_id", "doc_id", "rank", "score")
+
+
+def _matrices(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, pos, matrix): vectors in blocks of at most so many rows; null vectors are left out."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                flat = np.concatenate(part.column("embedding").to_numpy(zero_copy_only=False)).astype("<f8")
+                listed = [pa.array([part.column(c).to_pylist()], pa.list_(part.schema.field(c).type)) for c in ("id", "pos")]
+                yield pa.RecordBatch.from_arrays([*listed, pa.array([flat.tobytes()], pa.binary())], ["ids", "pos", "matrix"])
+
+    return vectors.where("embedding is not null").select("id", "pos", "embedding").mapInArrow(pack, f"ids array<{kind}>, pos array<bigint>, matrix binary")
+
+
+def _vectors(frame: DataFrame) -> DataFrame:
+    return frame.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("pos").cast("bigint").alias("pos"))
+
+
+def _best(pairs: DataFrame, kind: str, k: int, skip_self: bool) -> DataFrame:
+    """(query_id, doc_id, pos, score): the k best of each block of documents for each query, from (q_ids, q_matrix, ids, pos, matrix)."""
+
+    def best(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            for names, q, ids, pos, m in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_matrix", "ids", "pos", "matrix"))):
+                q, m, pos = np.frombuffer(q, "<f8").reshape(len(names), -1), np.frombuffer(m, "<f8").reshape(len(ids), -1), np.array(pos)
+                scores = np.round(m @ q.T, 12)
+                for n, name in enumerate(names):
+                    order = np.lexsort((pos, -np.round(scores[:, n], 9)))[: k + 1]
+                    for i in [i for i in order.tolist() if not (skip_self and ids[i] == name)][:k]:
+                        for column, value in zip(rows, (name, ids[i], int(pos[i]), float(scores[i, n]))):
+                            column.append(value)
+            own = batch.schema.field("ids").type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (own, own, pa.int64(), pa.float64()))], ["query_id", "doc_id", "pos", "score"])
+
+    return pairs.select("q_ids", "q_matrix", "ids", "pos", "matrix").mapInArrow(best, f"query_id {kind}, doc_id {kind}, pos bigint, score double")
 
 
 class Dense(Retriever):
-    """Dot products of vectors: (id, embedding, pos). The queries' matrix is broadcast in blocks of fixed size.
+    """Dot products of vectors: (id, embedding, pos); the exact search.
 
-    Each partition multiplies its vectors with a block of queries and keeps the k best of each, so only k rows for each
-    query and partition are shuffled.
+    Vectors and queries are packed into matrices of fixed size. Every matrix of vectors meets every matrix of queries in
+    one scan, and only the k best of each pair of matrices are shuffled. The queries are broadcast only up to ``spread``
+    bytes.
     """
 
-    def __init__(self, block: int = 4096) -> None:
-        self.block = block
+    def __init__(self, block: int = 1024, spread: int = 64 << 20) -> None:
+        self.block, self.spread = block, spread
 
     def index(self, documents: DataFrame) -> Dense:
-        self.documents = documents.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("pos").cast("bigint").alias("pos"))
+        self.documents = _vectors(documents)
         return self
 
     def rank(self, queries: DataFrame, k: int = 5, skip_self: bool = False) -> DataFrame:
-        id_type = self.documents.schema["id"].dataType.simpleString()
-        parts, block = [], []
-        for row in queries.select("id", F.col("embedding").cast("array<double>")).toLocalIterator():
-            block.append((row[0], row[1]))
-            if len(block) == self.block:
-                parts.append(self._best(block, k, skip_self, id_type))
-                block = []
-        if block or not parts:
-            parts.append(self._best(block, k, skip_self, id_type))
-        scored = parts[0]
-        for more in parts[1:]:
-            scored = scored.unionByName(more)
-        return top_k(scored, k).drop("pos")
-
-    def _best(self, block: list, k: int, skip_self: bool, id_type: str) -> DataFrame:
-        held = self.documents.sparkSession.sparkContext.broadcast((np.array([v for _, v in block], np.float64), [i for i, _ in block]))
-        schema = f"query_id {id_type}, doc_id {id_type}, pos bigint, score double"
-
-        def best(batches):
-            matrix, names = held.value
-            for batch in batches if names else ():
-                ids, pos = batch.column("id").to_pylist(), batch.column("pos").to_numpy()
-                scores = np.round(np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)) @ matrix.T, 12)
-                rows = ([], [], [], [])
-                for q, name in enumerate(names):
-                    order = np.lexsort((pos, -np.round(scores[:, q], 9)))[: k + 1]
-                    for i in [i for i in order.tolist() if not (skip_self and ids[i] == name)][:k]:
-                        for column, value in zip(rows, (name, ids[i], int(pos[i]), float(scores[i, q]))):
-                            column.append(value)
-                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "doc_id", "pos", "score"), rows)), schema=pa.schema([("query_id", batch.schema.field("id").type), ("doc_id", batch.schema.field("id").type), ("pos", pa.int64()), ("score", pa.float64())]))
+        asked = Stash(queries.sparkSession).put(_matrices(queries.select("id", F.lit(0).cast("bigint").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding")), self.block))
+        asked = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        size = asked.agg(F.sum(F.octet_length("q_matrix"))).first()[0] or 0
+        pairs = _matrices(self.documents, self.block).crossJoin(F.broadcast(asked) if size <= self.spread else asked)
+        return top_k(_best(pairs, self.documents.schema["id"].dataType.simpleString(), k, skip_self), k).drop("pos")
+
+
+class Cells(Retriever):
+    """Dot products of vectors through an inverted file: every vector lies in the cell of its nearest centre, and a query
+    reads the cells of its ``probes`` nearest centres.
 
-        return self.documents.mapInArrow(best, schema)
+    The centres are fitted on at most ``sample`` vectors, those with the least hashes; every vector is indexed. Exact only
+    within the cells read; ``recall`` compares it with Dense.
+    """
+
+    def __init__(self, cells: int = 16, probes: int = 12, sample: int = 20_000, block: int = 1024, seed: int = 42) -> None:
+        self.cells, self.probes, self.sample, self.block, self.seed = cells, probes, sample, block, seed
+
+    def index(self, documents: DataFrame) -> Cells:
+        vectors = _vectors(documents).where("embedding is not null")
+        chosen = vectors.orderBy(F.xxhash64("id", F.lit(self.seed)), "pos").limit(self.sample).select("embedding").toPandas()["embedding"]
+        data = np.stack(chosen.to_numpy()) if len(chosen) else np.zeros((1, 1))
+        rng = np.random.default_rng(self.seed)
+        centres = data[rng.choice(len(data), min(self.cells, len(data)), replace=False)]
+        for _ in range(10):
+            near = np.argmin((centres**2).sum(1) - 2 * data @ centres.T, axis=1)
+            centres = np.stack([data[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        self.centres = documents.sparkSession.sparkContext.broadcast(centres)
+        self.documents = Stash(documents.sparkSession).put(self._assigned(vectors, 1))
+        return self
+
+    def _assigned(self, vectors: DataFrame, cells: int) -> DataFrame:
+        """vectors with ``cell``, once for each of the nearest cells."""
+        kind, held = vectors.schema["id"].dataType.simpleString(), self.centres
+
+        def assign(batches):
+            centres = held.value
+            for batch in batches:
+                data = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, centres.shape[1]))
+                # vectors go by distance, queries by the same, as both are compared with the same centres
+                near = np.argsort((centres**2).sum(1) - 2 * data @ centres.T, axis=1, kind="stable")[:, :cells]
+                rows = np.repeat(np.arange(len(batch)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("id", "embedding", "pos")), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "pos", "cell"])
+
+        return vectors.select("id", "embedding", "pos").mapInArrow(assign, f"id {kind}, embedding array<double>, pos bigint, cell int")
+
+    def rank(self, queries: DataFrame, k: int = 5, skip_self: bool = False) -> DataFrame:
+        kind = self.documents.schema["id"].dataType.simpleString()
+        asked = self._assigned(_vectors(queries.withColumn("pos", F.lit(0))).where("embedding is not null"), self.probes)
+
+        # a large cell is many blocks; sorting within the partitions there are keeps blocks whole without gathering a cell
+        left = _cell_matrices(asked.sortWithinPartitions("cell"), self.block).select("cell", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        pairs = _cell_matrices(self.documents.sortWithinPartitions("cell"), self.block).join(left, "cell")
+        return top_k(_best(pairs, kind, k, skip_self), k).drop("pos")
+
+
+def _cell_matrices(rows: DataFrame, size: int) -> DataFrame:
+    """(cell, ids, pos, matrix) of rows sorted by cell, in blocks of at most ``size``."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                for at in range(a, b, size):
+                    part = batch.slice(at, min(size, b - at))
+                    flat = np.concatenate(part.column("embedding").to_numpy(zero_copy_only=False)).astype("<f8")
+                    listed = [pa.array([part.column(c).to_pylist()], pa.list_(part.schema.field(c).type)) for c in ("id", "pos")]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cell[at])], pa.int32()), *listed, pa.array([flat.tobytes()], pa.binary())], ["cell", "ids", "pos", "matrix"])
+
+    return rows.select("id", "embedding", "pos", "cell").mapInArrow(pack, f"cell int, ids array<{kind}>, pos array<bigint>, matrix binary")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (n_exact, n_found, recall): which part of the exact rankings' documents another search found."""
+    both = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
 def retriever(config: dict) -> Retriever:
@@ -152,7 +269,11 @@ def retriever(config: dict) -> Retriever:
     if kind == "bm25":
         return BM25(config.get("lowercase", True))
     if kind == "dense":
+        if config.get("model_id") and not config.get("revision"):
+            raise ValueError("another embedding model needs its revision")
         return Dense()
+    if kind == "cells":
+        return Cells(config.get("cells", 16), config.get("probes", 12))
     if kind == "hybrid":
         raise NotImplementedError("hybrid retrieval isn't implemented; use bm25 or dense")
     raise ValueError(f"unknown retriever kind: {kind}")
@@ -168,16 +289,25 @@ def query_measures(rankings: DataFrame, relevant: DataFrame, k: int) -> DataFram
     relevant: (query_id, doc_id), repeated rows count once. A query that isn't ranked scores 0.
     """
     wanted = relevant.distinct()
-    found = wanted.join(rankings.where(F.col("rank") <= k).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
-    one = found.groupBy("query_id").agg(F.count("*").alias("n"), F.count("rank").alias("hits"), F.min("rank").alias("first"), F.sum(discount(F.col("rank"))).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + discount(i))
+    hits = wanted.join(rankings.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"]).select("query_id", "rank")
+    return hit_measures(hits, wanted.groupBy("query_id").agg(F.count("*").alias("n")), k)
+
+
+def hit_measures(hits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """query_measures from (query_id, rank) of the relevant documents that are ranked, and (query_id, n), how many there are."""
+    found = sizes.where("n > 0").join(hits.where(F.col("rank") <= k).select("query_id", "rank"), "query_id", "left")
+    one = found.groupBy("query_id", "n").agg(F.count("rank").alias("hits"), F.min("rank").alias("first"), F.sum(discount(F.col("rank"))).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(k).cast("bigint"))), F.lit(0.0), lambda s, i: s + discount(i))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return one.select("query_id", (F.col("hits") / F.col("n")).alias("recall"), (F.col("hits") > 0).cast("double").alias("hit"), zero(1 / F.col("first")).alias("rr"), zero(F.col("dcg") / ideal).alias("ndcg"))
 
 
 def retrieval_measures(rankings: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row (recall_at_k, hit_rate_at_k, mrr, ndcg_at_k, evaluated): means over the queries; zeros if there are none."""
-    per_query = query_measures(rankings, relevant, k)
+    return mean_measures(query_measures(rankings, relevant, k))
+
+
+def mean_measures(per_query: DataFrame) -> DataFrame:
     mean = lambda c, n: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n)
     return per_query.agg(mean("recall", "recall_at_k"), mean("hit", "hit_rate_at_k"), mean("rr", "mrr"), mean("ndcg", "ndcg_at_k"), F.count("*").alias("evaluated"))
 

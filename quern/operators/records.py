@@ -65,6 +65,36 @@ def split_conflicts(one: DataFrame, other: DataFrame) -> DataFrame:
     return counts(one, "n_one").join(counts(other, "n_other"), ["kind", "value"])
 
 
+def question_of(rows: DataFrame) -> Column:
+    """A row's question: ``question``, or ``input`` where there is no such column, or an empty text."""
+    return next((F.coalesce(F.col(c), F.lit("")) for c in ("question", "input") if c in rows.columns), F.lit(""))
+
+
+def document_ids(rows: DataFrame, every: bool = False) -> Column:
+    """The documents that a row rests on, from whatever it has: relevant ids, evidence and relevant contexts; ``every`` takes all contexts."""
+    ids = F.array().cast("array<string>")
+    listed = [F.coalesce(F.col(c), ids) for c in ("relevant_doc_ids", "evidence_doc_ids") if c in rows.columns]
+    if "evidence" in rows.columns:
+        listed.append(F.coalesce(F.transform("evidence", lambda e: e["doc_id"]), ids))
+    if "contexts" in rows.columns:
+        kept = F.col("contexts") if every else F.filter("contexts", lambda c: F.coalesce(c["relevant"], F.lit(False)))
+        listed.append(F.coalesce(F.transform(kept, lambda c: c["doc_id"]), ids))
+    return clean_ids(F.concat(*listed)) if listed else ids
+
+
+def training_conflicts(one: DataFrame, other: DataFrame) -> DataFrame:
+    """split_conflicts of training rows in any form: questions may stand in ``input``; empty ids and questions conflict with none."""
+    shape = lambda rows: rows.select(F.when(F.trim("id", F.lit(BLANKS)) != "", F.trim("id", F.lit(BLANKS))).alias("id"), question_of(rows).alias("question"))
+    return split_conflicts(shape(one), shape(other))
+
+
+def require_disjoint(one: DataFrame, other: DataFrame, names: tuple[str, str], shown: int = 10) -> None:
+    """Raise an error that shows the first ids and questions that both have."""
+    found = training_conflicts(one, other).orderBy("kind", "value").limit(shown).collect()
+    if found:
+        raise ValueError(f"{names[0]} overlaps {names[1]}: " + "; ".join(f"{r['kind']} {r['value']}" for r in found))
+
+
 RAFT_RULES = ("no contexts", "no evidence", "repeated contexts", "repeated evidence", "evidence not in contexts", "relevant contexts not in evidence", "evidence marked irrelevant", "nothing relevant", "evidence differs from relevant contexts")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +29,41 @@ def target_rows(n: int, ratio: float, groups: int) -> int:
     return max(1, round(n * ratio))
 
 
-def question_groups(records: DataFrame, fields: tuple[str, ...] = (), by_document: bool = False) -> DataFrame:
+def _field(records: DataFrame, name: str) -> Column:
+    """The values of a dotted field as a list of texts; within a text column, the path is looked up as JSON. A missing one is refused."""
+    root, _, inside = name.partition(".")
+    kind = records.schema[root].dataType.typeName() if root in records.columns else None
+    if kind == "string" and inside:
+        found = F.get_json_object(root, f"$.{inside}")
+        return F.coalesce(F.from_json(found, "array<string>"), F.array(found))
+    try:
+        return (F.col(name) if records.select(name).schema[0].dataType.typeName() == "array" else F.array(F.col(name))).cast("array<string>")
+    except AnalysisException as error:
+        raise ValueError(f"records have no field {name}") from error
+
+
+def ungrouped(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(id, field) of the records that a field doesn't group: it is null, an empty list, or has a null or empty value."""
+    bad = lambda v: v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | (x == ""))
+    marked = F.array_compact(F.array(*(F.when(bad(_field(records, f)), F.lit(f)) for f in fields)))
+    return records.select("id", F.explode(marked).alias("field"))
+
+
+def question_groups(records: DataFrame, fields: tuple[str, ...] = (), by_document: bool = False, strict: bool = False) -> DataFrame:
     """(id, group): the records tied by question, by the values of the fields, and, if asked, by relevant documents.
 
-    Questions are compared in their folded form; a field may be dotted and hold a value or a list of values; null and
-    empty values tie nothing. The group is its least id.
+    Questions are compared in their folded form; a field may be dotted and hold a value or a list of values. A field that
+    the records don't have is refused; null and empty values tie nothing or, if ``strict``, are refused too. The group is
+    its least id.
     """
     stash = Stash(records.sparkSession)
+    if strict and fields:
+        without = ungrouped(records, fields).orderBy("id", "field").limit(10).collect()
+        if without:
+            raise ValueError("records without a value to group by: " + "; ".join(f"{r['id']}: {r['field']}" for r in without))
     keys = [F.when(question_key(F.col("question")) != "", F.concat(F.lit("question="), question_key(F.col("question"))))]
-    values = {f: F.col(f) if records.select(f).schema[0].dataType.typeName() == "array" else F.array(F.col(f)) for f in fields}
-    tag = lambda f, v: F.transform(F.filter(v.cast("array<string>"), lambda x: x != ""), lambda x: F.concat(F.lit(f"{f}="), x))
+    values = {f: _field(records, f) for f in fields}
+    tag = lambda f, v: F.transform(F.filter(v, lambda x: x != ""), lambda x: F.concat(F.lit(f"{f}="), x))
     named = [tag(f, v) for f, v in values.items()]
     listed = F.transform(clean_ids(F.col("relevant_doc_ids")), lambda x: F.concat(F.lit("document="), x)) if by_document else F.array().cast("array<string>")
     tokens = records.select("id", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*keys)), listed, *(F.coalesce(n, F.array().cast("array<string>")) for n in named)))).alias("token"))
@@ -132,13 +158,19 @@ def row_fingerprints(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.mapInArrow(canonical, f"id {kind}, fingerprint string")
 
 
-def table_fingerprint(fingerprints: DataFrame) -> DataFrame:
-    """One row (fingerprint, n): of the rows' fingerprints in the order of their ids, taken by blocks so no task holds all.
+LEVELS = (12, 9, 6, 3, 0)
+"""How many hexadecimal digits of a row's fingerprint name its block, level by level."""
 
-    Records are hashed into 4096 blocks by their own fingerprint; a block's fingerprint is that of its sorted rows.
-    """
-    blocks = fingerprints.groupBy(F.substring("fingerprint", 1, 3).alias("block")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("fingerprint"))), 256).alias("f"), F.count("*").alias("n"))
-    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("block", "f"))), lambda x: x["f"]))
-    return blocks.agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("n"))
 
+def table_fingerprint(fingerprints: DataFrame) -> DataFrame:
+    """One row (fingerprint, n): of the rows' fingerprints whatever their order, taken by blocks so no task holds all.
 
+    A block's fingerprint is that of the sorted fingerprints in it; blocks of 12 digits hold rows, the others at most 4,096
+    blocks of the level below, and the last all of those.
+    """
+    rows = fingerprints.select(F.col("fingerprint").alias("name"), F.col("fingerprint").alias("f"), F.lit(1).cast("bigint").alias("n"))
+    for digits in LEVELS:
+        joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("name", "f"))), lambda x: x["f"]))
+        blocks = rows.groupBy(F.substring("name", 1, digits).alias("name")) if digits else rows
+        rows = blocks.agg(F.sha2(joined, 256).alias("f"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return rows.select(F.col("f").alias("fingerprint"), "n")

@@ -112,6 +112,6 @@ SQL = {
         t AS (SELECT id, {_PROMPT.format(q='q', c=repr(prompts.NO_DOCUMENTS))} || '\n\n### Response\n' || output AS t FROM s)
         SELECT id, sha256(t) AS digest, length(t) AS n_chars FROM t""",
     "lenient_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "judge_cache_misses": f"""WITH {EVAL}, k AS (SELECT id, sha256(concat_ws('|', 'rag-judge-v2', question, reference_answer)) AS key FROM ev WHERE reference_answer IS NOT NULL)
+    "judge_cache_misses": f"""WITH {EVAL}, k AS (SELECT id, sha256(concat_ws('|', '{scoring.JUDGE_PROMPT}', question, reference_answer)) AS key FROM ev WHERE reference_answer IS NOT NULL)
         SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 3 = 0)""",
 }

@@ -47,18 +47,33 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the query's label are relevant; they are counted by label, and only ranked ones are looked up."""
     vectors = _vectors(spark, sf_dir)
     one = vectors.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "label")
-    same = one.join(vectors.select(F.col("id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
-    return ranking.retrieval_measures(_dense(spark, sf_dir), same, TOP_K)
+    sizes = one.join(vectors.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").select("query_id", "n")
+    ranked = _dense(spark, sf_dir).join(one, "query_id").join(vectors.select(F.col("id").alias("doc_id"), F.col("label").alias("own")), "doc_id")
+    return ranking.mean_measures(ranking.hit_measures(ranked.where("label = own").select("query_id", "rank"), sizes, TOP_K))
+
+
+def dense_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact search the inverted file finds."""
+    vectors = _vectors(spark, sf_dir)
+    found = ranking.Cells().index(vectors).rank(vectors.where(F.col("id") % 20 == 0), TOP_K, skip_self=True)
+    return ranking.recall(found, _dense(spark, sf_dir)).select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def bm25_common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus whose terms all stand in more than half of its documents, so that sharing one counts against a document."""
+    key = F.col("n_nationkey").cast("bigint")
+    words = [F.lit("all"), F.when(key % 5 != 0, "most"), F.when(key % 3 != 0, "many"), F.when(key % 2 == 0, "half half")]
+    docs = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), key.cast("string")).alias("id"), F.concat_ws(" ", *words).alias("text"), key.alias("pos"))
+    asked = spark.createDataFrame([("a", "all"), ("m", "most many most"), ("h", "half zz"), ("z", "zz"), ("e", "")], "id string, question string")
+    return _rounded(ranking.BM25().index(docs).rank(asked, 12))
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = asked(examples(spark, sf_dir, "train_qa"))
-    refs = relevant(queries)
-    deepest = refs.distinct().groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    mined = mining.hard_negatives(_bm25(spark, sf_dir, queries, 2 + deepest), refs, 2)
-    return mined.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    return _rounded(ranking.BM25().index(documents(spark, sf_dir)).rank(queries, 2, excluded=relevant(queries)))
 
 
 def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,21 +125,26 @@ r AS (SELECT * FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDE
 _RANDOM = f"""{TRAIN},
 ring AS (SELECT id AS did, row_number() OVER (ORDER BY {sql_hash("'42'", 'id')}, id) - 1 AS place FROM documents),
 n AS (SELECT count(*) AS n FROM documents),
+sd AS (SELECT list(x ORDER BY x)[1:1024] AS sd FROM n, range(1, 20000) t(x) WHERE gcd(x, n.n) = 1 AND x <= greatest(1, n.n)),
 rel AS (SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS did FROM tr),
 own AS (SELECT qid, count(*) AS c FROM rel GROUP BY qid),
-a AS (SELECT tr.id AS qid, {sql_hash("'42'", 'tr.id', digits=12)} % n.n AS st, n.n, unnest(range(0, least(n.n, 2 + coalesce(own.c, 0)))) AS step FROM tr LEFT JOIN own ON own.qid = tr.id, n),
-met AS (SELECT a.qid, ring.did, a.step FROM a JOIN ring ON ring.place = (a.st + a.step) % a.n ANTI JOIN rel ON rel.qid = a.qid AND rel.did = ring.did),
+a AS (SELECT tr.id AS qid, {sql_hash("'42'", 'tr.id', digits=12)} % n.n AS st, sd.sd[1 + {sql_hash("'42'", "'stride'", 'tr.id', digits=12)} % len(sd.sd)] AS sr, n.n, unnest(range(0, least(n.n, 2 + coalesce(own.c, 0)))) AS step FROM tr LEFT JOIN own ON own.qid = tr.id, n, sd),
+met AS (SELECT a.qid, ring.did, a.step FROM a JOIN ring ON ring.place = (a.st + a.step * a.sr) % a.n ANTI JOIN rel ON rel.qid = a.qid AND rel.did = ring.did),
 neg AS (SELECT * FROM (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY step) AS nth FROM met) WHERE nth <= 2)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_stats, retrieval_metrics, dense_topk, dense_label_metrics, hard_negatives, random_negatives, raft_examples)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_stats, bm25_common_terms, retrieval_metrics, dense_topk, dense_label_metrics, dense_cells_recall, hard_negatives, random_negatives, raft_examples)}
 SQL = {
     "bm25_topk": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
     "bm25_index_stats": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')} SELECT n AS n_docs, round(a, 6) AS avgdl, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, round(avg(i), 6) AS mean_idf FROM idf, st GROUP BY n, a",
     "retrieval_metrics": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')}, " + _measures_sql(f"SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM ev WHERE {NUMBER} % 20 = 0"),
+    "bm25_common_terms": f"""WITH documents AS (SELECT 'n' || n_nationkey AS id, CAST(n_nationkey AS BIGINT) AS doc_id, 'all' || CASE WHEN n_nationkey % 5 <> 0 THEN ' most' ELSE '' END || CASE WHEN n_nationkey % 3 <> 0 THEN ' many' ELSE '' END || CASE WHEN n_nationkey % 2 = 0 THEN ' half half' ELSE '' END AS text FROM nation),
+        ask AS (SELECT * FROM (VALUES ('a', 'all'), ('m', 'most many most'), ('h', 'half zz'), ('z', 'zz'), ('e', '')) v(id, question)), {bm25_sql("SELECT id, question FROM ask", "12")}
+        SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r""",
+    "dense_cells_recall": "SELECT count(*) * 5 AS n_exact, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "dense_topk": f"WITH {_DENSE} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
     "dense_label_metrics": f"WITH {_DENSE}, " + _measures_sql("SELECT q.id AS qid, v.id FROM v q JOIN v ON q.label = v.label AND q.id <> v.id AND q.id % 20 = 0"),
     "hard_negatives": f"""WITH {TRAIN}, rel AS (SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM tr),
-        {bm25_sql(_ASKED_TRAIN, '100')},
+        {bm25_sql(_ASKED_TRAIN, '(SELECT count(*) FROM documents)')},
         h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM r ANTI JOIN rel ON rel.qid = r.qid AND rel.id = r.id)
         SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM h WHERE nth <= 2""",
     "random_negatives": f"WITH {_RANDOM} SELECT qid AS query_id, did AS doc_id, nth FROM neg",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import records, splits
-from quern.plans.common import BLANKS, EVAL, SEED, TRAIN, documents, examples, sql_clean, sql_hash, sql_key
+from quern.functions import prompts
+from quern.operators import records, splits, tuning
+from quern.plans.common import BLANKS, EVAL, NUMBER, SEED, TRAIN, documents, examples, sql_clean, sql_hash, sql_key
 from quern.runtime import Stash, table
 
 RATIO = 0.1
@@ -97,10 +98,50 @@ def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.row_fingerprints(rows)
 
 
+def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples(spark, sf_dir, "sft").where(F.trim("output", F.lit(records.BLANKS)) != "")
+
+
+def completions_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tuning.completions(_tuning(spark, sf_dir), "sft", chat=False)
+    return rows.select("id", F.sha2("prompt", 256).alias("prompt"), F.sha2("completion", 256).alias("completion"))
+
+
+def completions_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tuning.completions(_tuning(spark, sf_dir), "sft", chat=True)
+    part = lambda c: F.concat_ws("|", F.get(c, F.lit(0))["role"], F.sha2(F.get(c, F.lit(0))["content"], 256))
+    return rows.select("id", part(F.col("prompt")).alias("prompt"), part(F.col("completion")).alias("completion"))
+
+
+def matched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training questions with an answer, of every fourth number, as tuning rows of the same sources."""
+    train = examples(spark, sf_dir, "train_qa")
+    chosen = train.where(F.trim("reference_answer", F.lit(records.BLANKS)) != "").where(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 4 == 0)
+    return tuning.matched(chosen.select("id"), train).select("id", "instruction", "input", "output")
+
+
+def training_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and questions that tuning rows and training questions have in common."""
+    sft = examples(spark, sf_dir, "sft").select("id", "input")
+    return records.training_conflicts(sft, examples(spark, sf_dir, "train_qa")).where("kind = 'question'").select("value", "n_one", "n_other")
+
+
+def positive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = examples(spark, sf_dir)
+    return rows.select("id", F.array_join(records.document_ids(rows), " ").alias("documents"))
+
+
+def ungrouped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.ungrouped(examples(spark, sf_dir, "train_qa"), ("metadata.author", "metadata.split"))
+
+
 def _blank(column: str) -> str:
     return f"coalesce(trim({column}, {BLANKS}), '') = ''"
 
 
+_RESPONSE = repr(prompts.RESPONSE).replace("\\n", "\n")
+_TUNED = f"""s AS (SELECT DISTINCT ON (id) id, coalesce(input, '') AS q, output FROM sft WHERE id IS NOT NULL AND NOT {_blank('output')}),
+t AS (SELECT id, output, '### Instruction\n{prompts.INSTRUCTION}\n\n### Question\n' || q || '\n\n### Documents\n{prompts.NO_DOCUMENTS}' AS t FROM s)"""
 _KEY = sql_key("question")
 _GROUPED = f"""{TRAIN},
 keys AS (SELECT id, {_KEY} AS k FROM tr WHERE {_KEY} <> ''),
@@ -118,7 +159,7 @@ a AS (SELECT g.id, g."group", CASE WHEN before < greatest(1, round_even((SELECT
 _ROWS = f'{TRAIN}, g AS (SELECT id, id AS "group" FROM tr)'
 _PRINTS = f"""{EVAL}, f AS (SELECT id, sha256(concat_ws(chr(31), id, coalesce({_KEY}, ''), coalesce(reference_answer, ''))) AS fingerprint FROM ev)"""
 
-QUERIES = {f.__name__: f for f in (id_uniqueness, record_violations, referential_check, split_overlap, evidence_merge, raft_invariant, connected_groups, row_split, group_split, document_pools, partition_audit, source_fingerprint, table_fingerprint, row_fingerprint)}
+QUERIES = {f.__name__: f for f in (id_uniqueness, record_violations, referential_check, split_overlap, evidence_merge, raft_invariant, connected_groups, row_split, group_split, document_pools, partition_audit, source_fingerprint, table_fingerprint, row_fingerprint, completions_plain, completions_chat, matched_rows, training_conflicts, positive_documents, ungrouped_records)}
 SQL = {
     "id_uniqueness": " UNION ALL ".join(f"SELECT '{t}' AS tbl, id, count(*) AS n FROM {t} GROUP BY id HAVING count(*) > 1" for t in ("documents", "train_qa", "eval", "sft")),
     "record_violations": f"""SELECT 'documents' AS tbl, id, 'blank_id' AS rule FROM documents WHERE {_blank('id')} UNION ALL SELECT 'documents', id, 'blank_text' FROM documents WHERE {_blank('text')}
@@ -153,7 +194,16 @@ SQL = {
         SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS validation_rows, count(DISTINCT "group") AS groups,
         CAST(0 AS BIGINT) AS group_overlap, (SELECT n FROM q) AS question_overlap, (SELECT n FROM d) AS document_overlap FROM a""",
     "source_fingerprint": f"WITH {_PRINTS} SELECT id, fingerprint FROM f",
+    "completions_plain": f"WITH {_TUNED} SELECT id, sha256(t || {_RESPONSE}) AS prompt, sha256(output) AS completion FROM t",
+    "completions_chat": f"WITH {_TUNED} SELECT id, 'user|' || sha256(t) AS prompt, 'assistant|' || sha256(output) AS completion FROM t",
+    "matched_rows": f"WITH {TRAIN} SELECT id, '{tuning.INSTRUCTION}' AS instruction, question AS input, reference_answer AS output FROM tr WHERE NOT {_blank('reference_answer')} AND {NUMBER} % 4 = 0",
+    "training_conflicts": f"""WITH {TRAIN}, s AS (SELECT DISTINCT ON (id) id, coalesce(input, '') AS question FROM sft WHERE id IS NOT NULL),
+        a AS (SELECT {sql_key('question')} AS value, count(*) AS n_one FROM s GROUP BY 1), b AS (SELECT {sql_key("coalesce(question, '')")} AS value, count(*) AS n_other FROM tr GROUP BY 1)
+        SELECT a.value, n_one, n_other FROM a JOIN b ON a.value = b.value AND a.value <> ''""",
+    "positive_documents": f"WITH {EVAL}, x AS (SELECT id, {sql_clean("list_concat(coalesce(relevant_doc_ids, []), coalesce(list_transform(evidence, lambda e: e.doc_id), []))")} AS d FROM ev) SELECT id, array_to_string(d, ' ') AS documents FROM x",
+    "ungrouped_records": f"WITH {TRAIN} SELECT id, 'metadata.author' AS field FROM tr WHERE coalesce(metadata.author, '') = '' UNION ALL SELECT id, 'metadata.split' FROM tr WHERE coalesce(metadata.split, '') = ''",
     "row_fingerprint": "WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM sft WHERE id IS NOT NULL) WHERE rn = 1) SELECT id, sha256('{' || " + " || ',' || ".join(f"""'"{c}":' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')""" for c in ("id", "input", "instruction", "output")) + " || '}') AS fingerprint FROM s",
-    "table_fingerprint": f"""WITH {_PRINTS}, b AS (SELECT substr(fingerprint, 1, 3) AS block, sha256(string_agg(fingerprint, chr(10) ORDER BY fingerprint)) AS f, count(*) AS n FROM f GROUP BY 1)
-        SELECT sha256(string_agg(f, chr(10) ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""",
+    "table_fingerprint": f"WITH {_PRINTS}, l0 AS (SELECT fingerprint AS name, fingerprint AS f, 1 AS n FROM f), "
+    + ", ".join(f"l{i + 1} AS (SELECT substr(name, 1, {d}) AS name, sha256(string_agg(f, chr(10) ORDER BY name)) AS f, sum(n) AS n FROM l{i} GROUP BY 1)" for i, d in enumerate(splits.LEVELS))
+    + f" SELECT f AS fingerprint, CAST(n AS BIGINT) AS n FROM l{len(splits.LEVELS)}",
 }

@@ -52,6 +52,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, on whatever file system the path names, as the executors see it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 class Stash:
     """Intermediate results written as Parquet to the shared folder, which cut the lineage and outlive lost executors."""
 

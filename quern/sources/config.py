@@ -14,11 +14,13 @@ import yaml
 COMMIT = re.compile(r"[0-9a-f]{40}")
 
 
-def load_yaml(path: str | Path) -> dict[str, Any]:
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    if not isinstance(data, dict):
+def read_settings(path: str | Path, paths: tuple[str, ...] = ()) -> dict[str, Any]:
+    """The mapping in a YAML file; the settings named in ``paths`` are taken as paths beside it."""
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    if not isinstance(found, Mapping):
         raise ValueError(f"{path} must hold a mapping")
-    return data
+    return dict(found) | {k: str(resolved(path, found[k])) for k in paths if isinstance(found.get(k), str)}
 
 
 def resolved(config: str | Path, value: str) -> Path:
@@ -58,14 +60,54 @@ def model_settings(config: Mapping[str, Any]) -> dict[str, Any]:
     return {"model_id": name, "revision": revision, "chat_template_kwargs": dict(arguments), "generation": generation, "thinking": bool(thinks)}
 
 
+#: A judge's settings: their kind, default and least value; "share" is between 0 and 1, "positive" above 0. Fixed values.
+JUDGE = """
+max_retries int 2 0
+retry_backoff_seconds float 0.5 0
+concurrency_limit int 1 1
+timeout_seconds positive 30 0
+connection_timeout_seconds positive 30 0
+read_timeout_seconds positive 30 0
+max_response_bytes int 32768 128
+max_completion_tokens int 256 1
+max_rationale_characters int 1000 1
+minimum_metric_coverage share 0.8 0
+minimum_paired_examples int 30 1
+"""
+
+
 def judge_settings(config: Mapping[str, Any]) -> dict[str, Any]:
-    """The checked settings of a judge, with their defaults."""
-    raw = {"kind": "disabled", "max_retries": 2, "retry_backoff_seconds": 0.5, "minimum_metric_coverage": 0.8, "minimum_paired_examples": 30, "strict": False} | dict(config.get("judge", {}))
-    if raw["kind"] not in ("disabled", "callable", "openai-compatible"):
-        raise ValueError(f"unknown kind of judge: {raw['kind']}")
-    if raw["max_retries"] < 0 or raw["retry_backoff_seconds"] < 0 or not 0 <= raw["minimum_metric_coverage"] <= 1 or raw["minimum_paired_examples"] < 1:
-        raise ValueError("a setting of the judge is out of range")
-    return raw
+    """The checked settings of a judge, with their defaults; no server is asked."""
+    raw = config.get("judge") or {}
+    if not isinstance(raw, Mapping):
+        raise ValueError("judge must be a mapping")
+    out = {"kind": "disabled", "strict": False, "cache": True, "structured_output": True} | dict(raw)
+    if out["kind"] not in ("disabled", "callable", "openai-compatible"):
+        raise ValueError(f"unknown kind of judge: {out['kind']}")
+    if out["kind"] == "openai-compatible" and not all(isinstance(out.get(k), str) and out[k].strip() for k in ("base_url", "model")):
+        raise ValueError("the judge needs a base_url and a model")
+    for name, kind, default, least in (row.split() for row in JUDGE.strip().splitlines()):
+        default = out.get("timeout_seconds", default) if name.endswith("_timeout_seconds") else default
+        value = (int if kind == "int" else float)(out.get(name, default))
+        if value < float(least) or (kind == "share" and value > 1) or (kind == "positive" and value <= 0):
+            raise ValueError(f"the judge's {name} is out of range")
+        out[name] = value
+    return out
+
+
+def scorer_settings(config: Mapping[str, Any] | None) -> dict[str, Any]:
+    """What to score by: each part's settings, or None where it isn't wanted."""
+    config = dict(config or {})
+    if config.get("mode") == "disabled":
+        return dict.fromkeys(("correctness", "groundedness", "citations", "judge"))
+    lexical = config.get("lexical_groundedness", {})
+    if not isinstance(lexical, Mapping | None) and lexical is not False:
+        raise ValueError("lexical_groundedness must be a mapping or false")
+    threshold = float(dict(lexical or {}).get("claim_support_threshold", 0.5))
+    if not 0 <= threshold <= 1:
+        raise ValueError("claim_support_threshold must be between 0 and 1")
+    judge = judge_settings(config)
+    return {"correctness": {}, "groundedness": None if lexical is False else {"threshold": threshold}, "citations": {} if config.get("citation_metrics") else None, "judge": None if judge["kind"] == "disabled" else judge}
 
 
 def canonical(value: Any) -> str:
@@ -83,7 +125,7 @@ def file_digest(path: str | Path) -> str:
 
 
 def artifact_digest(path: str | Path, skip: tuple[str, ...] = ()) -> str:
-    """A file's digest, or one over the names and contents of a folder's files, in order."""
+    """A file's digest, or one over the files of a folder in the order of their names: name, NUL, contents."""
     root = Path(path)
     if root.is_file():
         return file_digest(root)
@@ -92,7 +134,10 @@ def artifact_digest(path: str | Path, skip: tuple[str, ...] = ()) -> str:
         raise ValueError(f"{path} has no files")
     whole = hashlib.sha256()
     for p in files:
-        whole.update(p.relative_to(root).as_posix().encode() + b"\0" + file_digest(p).encode())
+        whole.update(p.relative_to(root).as_posix().encode() + b"\0")
+        with open(p, "rb") as f:
+            while part := f.read(1 << 20):
+                whole.update(part)
     return whole.hexdigest()
 
 

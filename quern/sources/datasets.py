@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import SPACES, content_id
+from quern.sources.config import COMMIT
+
+
+def pinned(spark: SparkSession, root: str, dataset: str, revision: str) -> DataFrame:
+    """The table of a public dataset at one revision, as its files lie under root/dataset/revision; the revision must be a commit."""
+    if not dataset.strip() or not COMMIT.fullmatch(revision):
+        raise ValueError("a dataset needs its name and the 40 hexadecimal digits of a commit")
+    return spark.read.parquet(f"{root.rstrip('/')}/{dataset}/{revision}")
 
 
 def one_line(text: Column) -> Column:

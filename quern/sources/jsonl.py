@@ -112,3 +112,14 @@ def distinct_outputs(*paths: str | None) -> None:
     given = [Path(p).resolve() for p in paths if p]
     if len(given) != len(set(given)):
         raise ValueError("output paths must be distinct")
+
+
+def check_destination(output: str, plan: str | None = None) -> None:
+    """An output folder must not be a file, a plan's file not a folder, and the two must differ."""
+    from pathlib import Path
+
+    if Path(output).is_file():
+        raise ValueError(f"the output folder {output} is a file")
+    if plan and Path(plan).is_dir():
+        raise ValueError(f"the plan's file {plan} is a folder")
+    distinct_outputs(output, plan)

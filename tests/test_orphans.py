@@ -73,6 +73,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert tracker.version == before
 
 
+def test_stream_outlives_its_process(spark, tmp_path):
+    """A new object goes on where the last one stopped, also when it died between writing a version and its index."""
+    docs = [("x", DAY(1), None), ("y", DAY(7), None), ("z", DAY(1), DAY(2))]
+    rows = [("a", ["x", "y", "q"], DAY(5)), ("b", ["z"], DAY(5)), ("c", ["q", "w"], DAY(5))]
+    batch = orphans.advance(orphans.empty_state(spark), references(spark, rows), parents(spark, docs))
+    state = f"{tmp_path}/state"
+    OrphanStream(spark, state).apply("references", references(spark, rows[:1]), 0)
+    dying = OrphanStream(spark, state)
+    dying._publish = lambda index: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        dying.apply("parents", parents(spark, docs), 0)
+    for n in range(2):
+        OrphanStream(spark, state).apply("parents", parents(spark, docs), n)
+    last = OrphanStream(spark, state)
+    before = last.index["at"]
+    last.apply("references", references(spark, rows[1:]), 1)
+    last.apply("references", references(spark, rows[1:]), 1)
+    assert found(OrphanStream(spark, state).state()) == found(batch) and last.version == 4
+    moved = {b for b, v in last.index["at"].items() if before.get(b) != v}
+    assert len(moved) <= 3  # the ids z, q and w
+    with pytest.raises(ValueError, match="buckets"):
+        OrphanStream(spark, state, buckets=8)
+
+
 @pytest.mark.parametrize("ids", [["a" * 5000], [""]])
 def test_odd_ids(spark, ids):
     state = orphans.advance(orphans.empty_state(spark), references(spark, [("r", ids, DAY(1))]), parents(spark, [("x", None, None)]))

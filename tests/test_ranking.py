@@ -36,6 +36,38 @@ def test_bm25_against_hand(spark):
         assert [(r["doc_id"], r["rank"], r["score"]) for r in rows if r["query_id"] == id_] == bm25_by_hand(docs, text, 5)
 
 
+@pytest.mark.parametrize("texts", [["x y", "x z", "x"], ["x", "x y"], ["a b", "a b c", "a c", "b", "zz zz a"]])
+def test_bm25_keeps_negative_scores(spark, texts):
+    docs = [(f"d{i}", t, i) for i, t in enumerate(texts)]
+    queries = [("q1", "x a"), ("q2", "y b"), ("q3", "none"), ("q4", "z c a")]
+    got = ranking.BM25().index(spark.createDataFrame(docs, DOCS)).rank(spark.createDataFrame(queries, QUERIES), 4).orderBy("query_id", "rank").collect()
+    for id_, text in queries:
+        assert [(r["doc_id"], r["rank"], r["score"]) for r in got if r["query_id"] == id_] == bm25_by_hand(docs, text, 4)
+
+
+def test_bm25_without_excluded_documents_keeps_the_ranks(spark):
+    rng = random.Random(5)
+    docs = [(f"d{i}", " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))), i) for i in range(30)]
+    queries = [("q1", "a b"), ("q2", "h h c"), ("q3", "zz")]
+    banned = [("q1", f"d{i}") for i in range(25)] + [("q2", "d3"), ("q3", "d0"), ("q3", "d2"), ("q3", "gone")]
+    index = ranking.BM25().index(spark.createDataFrame(docs, DOCS))
+    got = index.rank(spark.createDataFrame(queries, QUERIES), 3, excluded=spark.createDataFrame(banned, "query_id string, doc_id string")).collect()
+    for id_, text in queries:
+        want = [x for x in bm25_by_hand(docs, text, 30) if (id_, x[0]) not in banned][:3]
+        assert [(r["doc_id"], r["rank"], r["score"]) for r in sorted((r for r in got if r["query_id"] == id_), key=lambda r: r["rank"])] == want
+
+
+def test_cells_find_what_the_exact_search_finds(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=8) * 3 + rng.normal(size=(40, 8)) for _ in range(6)]).round(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]], i) for i in range(len(v))] + [(999, None, 999)], "id bigint, embedding array<double>, pos bigint")
+    asked = rows.where("id % 20 = 0")
+    exact = ranking.Dense().index(rows).rank(asked, 3)
+    every = ranking.Cells(cells=6, probes=6).index(rows)
+    assert ranking.recall(every.rank(asked, 3), exact).first()["recall"] == 1.0
+    assert every.documents.count() == len(v)
+
+
 def test_bm25_ties_keep_the_order_of_the_corpus(spark):
     docs = spark.createDataFrame([("one", "alpha evidence", 0), ("two", "beta noise", 1), ("three", None, 2)], DOCS)
     got = ranking.BM25().index(docs).rank(spark.createDataFrame([("q", "alpha"), ("n", None)], QUERIES), 2).orderBy("query_id", "rank").collect()

@@ -114,6 +114,16 @@ def test_records(spark):
     assert [tuple(r) for r in records.repeated_ids(docs).collect()] == [("a", 2)]
 
 
+def test_accessors_and_conflicts(spark):
+    rows = spark.createDataFrame([("a", "q", ["x "], ["y"], [("z", True), ("w", False)])], "id string, question string, relevant_doc_ids array<string>, evidence_doc_ids array<string>, contexts array<struct<doc_id:string,relevant:boolean>>")
+    assert rows.select(records.document_ids(rows)).first()[0] == ["x", "y", "z"] and rows.select(records.document_ids(rows, every=True)).first()[0][-1] == "w"
+    tuned = spark.createDataFrame([(" ", "Q "), ("s", ""), ("t", None)], "id string, input string")
+    other = spark.createDataFrame([("", ""), ("u", "q")], "id string, question string")
+    assert [(r["kind"], r["value"]) for r in records.training_conflicts(tuned, other).collect()] == [("question", "q")]
+    with pytest.raises(ValueError, match="one overlaps two: question q"):
+        records.require_disjoint(tuned, other, ("one", "two"))
+
+
 @pytest.mark.parametrize(
     ("contexts", "evidence", "problems"),
     [
@@ -135,5 +145,11 @@ def test_grouping_by_fields_and_row_fingerprints(spark):
     rows = spark.createDataFrame([("a", "1", None, (["x", "y"], "t1")), ("b", "2", None, (["y"], None)), ("c", "3", None, (None, "t1")), ("d", "4", None, ([""], ""))], "id string, question string, relevant_doc_ids array<string>, meta struct<tags:array<string>,thread:string>")
     got = {r["id"]: r["group"] for r in splits.question_groups(rows, ("meta.tags", "meta.thread")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    with pytest.raises(ValueError, match="without a value"):
+        splits.question_groups(rows, ("meta.tags",), strict=True)
+    with pytest.raises(ValueError, match="no field"):
+        splits.question_groups(rows, ("meta.other",))
+    as_json = rows.selectExpr("id", "question", "relevant_doc_ids", "to_json(meta) as meta")
+    assert {r["id"]: r["group"] for r in splits.question_groups(as_json, ("meta.tags", "meta.thread")).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
     one = {r["id"]: r["fingerprint"] for r in splits.row_fingerprints(rows.select("id", "question")).collect()}
     assert one == {r["id"]: r["fingerprint"] for r in splits.row_fingerprints(rows.select("question", "id")).collect()} and len(set(one.values())) == 4

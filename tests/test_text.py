@@ -51,6 +51,12 @@ def test_question_key_folds(spark):
     assert one(spark, text.question_key(F.col("a")), a="  STRASSE    straße? ") == "strasse strasse?"
 
 
+def test_folding_is_python_s(spark):
+    specials = [*text.FOLDED, "ẞ", "Σ", "ŉ", "ſ", "ΐ", "ﬀ", "Straße", "ΟΔΟΣ"]
+    rows = spark.createDataFrame([(c,) for c in specials], "a string").select("a", text.folded(F.col("a")).alias("f")).collect()
+    assert {r["a"]: r["f"] for r in rows} == {c: c.casefold() for c in specials}
+
+
 def test_lenient_json(spark):
     assert one(spark, text.lenient_json(F.col("a")), a='so: {"k": {"x": 1}} there') == '{"k": {"x": 1}}'
     assert one(spark, text.lenient_json(F.col("a")), a="nothing") is None
