@@ -43,6 +43,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_overlaps(spark, sf_dir).select("eval_id", "train_id")
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_overlaps(spark, sf_dir).select("eval_id", "train_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.overlap_report(p2_overlaps(spark, sf_dir), table(spark, sf_dir, "eval"))
 
@@ -64,6 +68,14 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_documents(table(spark, sf_dir, "documents"))
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each document put together again without their overlaps, and whether all of them fit."""
+    rows = p4_pieces(spark, sf_dir)
+    parts = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    own = F.transform(parts, lambda p: F.when(p["piece"] == 0, p["text"]).otherwise(F.substr(p["text"], F.lit(201))))
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(own, "")).alias("digest"), (F.max("n_chars") <= 4000).alias("fits"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = similar.similar_classes(table(spark, sf_dir, "documents"), 0.6, 3)
     return similar.similar_pairs(members, links)
@@ -94,6 +106,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_sizes(spark, sf_dir))
 
 
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers hold of each document, in how many parts, and whether no container is too full."""
+    rows = Stash(spark).put(p8_containers(spark, sf_dir))
+    full = rows.groupBy("container").agg((F.sum("n_tokens") <= 1024).alias("fits"))
+    return rows.join(full, "container").groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_parts"), F.bool_and("fits").alias("fits"))
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sizes(spark, sf_dir)))
 
@@ -128,7 +147,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_counts, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p9_exact_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_slice_tokens, p1_slice_tokens_bpe, p1_document_tokens, p2_found, p2_overlaps, p2_pairs, p2_report, p3_found, p3_counts, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p6_found, p6_splits, p6_split_report, p8_found, p8_containers, p8_documents, p8_fill, p9_mix, p9_shares, p9_exact_shares, p10_found, p10_restored)}
 
 _BLANKS = "chr(32) || chr(9) || chr(13) || chr(10)"
 
@@ -199,6 +218,9 @@ SQL = {
     "p1_document_tokens": f"WITH {_SLICED} SELECT doc_id, source, lang, topic, n AS n_tokens FROM sl",
     "p8_found": f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE n > 1024",
     "p2_found": f"WITH {_OVERLAPS} SELECT DISTINCT a AS eval_id, b AS train_id FROM p WHERE c * 4 >= 3 * (ka + kb - c)",
+    "p2_pairs": f"WITH {_OVERLAPS} SELECT a AS eval_id, b AS train_id, round(max(c / (ka + kb - c)), 6) AS similarity FROM p WHERE c * 4 >= 3 * (ka + kb - c) GROUP BY a, b",
+    "p4_rejoined": "SELECT doc_id, md5(text) AS digest, TRUE AS fits FROM documents WHERE length(text) > 4000",
+    "p8_documents": f"WITH {_TOKENS} SELECT doc_id, n AS n_tokens, CAST(greatest(1, ceil(n / 1024)) AS BIGINT) AS n_parts, TRUE AS fits FROM tok WHERE doc_id IS NOT NULL",
     "p4_found": r"""
         WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 4000),
         w AS (SELECT doc_id,
