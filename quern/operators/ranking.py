@@ -80,11 +80,17 @@ class BM25(Retriever):
         self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(self.common)).otherwise(F.col("raw")).alias("idf"))
         return self
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, pos, score) of the documents that share a term with the query; repeated terms count again."""
+    def scores(self, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, pos, score) of the documents that share a term with the query; repeated terms count again.
+
+        With ``pairs`` (query_id, doc_id) only of those, whose terms alone are looked up.
+        """
         asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("question"), self.lowercase)).alias("term"))
         asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self.terms, "term")
-        found = self.counts.join(asked, "term")
+        if pairs is None:
+            found = self.counts.join(asked, "term")
+        else:
+            found = self.counts.join(asked.join(pairs.select("query_id", F.col("doc_id").alias("id")), "query_id"), ["id", "term"])
         weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
         return found.groupBy("query_id", F.col("id").alias("doc_id"), "pos").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
@@ -121,7 +127,7 @@ class BM25(Retriever):
             return best.drop("pos")
         best = self.stash.put(best)
         places = banned.join(self.documents.select(F.col("id").alias("doc_id"), F.col("pos").alias("_pos")), "doc_id")
-        places = places.join(scored.select(*pair, F.col("score").alias("_score")), pair, "left").select("query_id", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("_score"), "_pos")
+        places = places.join(self.scores(queries, banned).select(*pair, F.col("score").alias("_score")), pair, "left").select("query_id", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("_score"), "_pos")
         before = (F.col("_score") > F.round("score", 9)) | ((F.col("_score") == F.round("score", 9)) & (F.col("_pos") < F.col("pos")))
         ahead = best.join(places, "query_id").where(before).groupBy(*pair).agg(F.count("*").alias("_ahead"))
         ranked = best.join(ahead, pair, "left").withColumn("rank", (F.col("rank") + F.coalesce("_ahead", F.lit(0))).cast("int"))
