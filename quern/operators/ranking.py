@@ -8,17 +8,26 @@ from __future__ import annotations
 import re
 from abc import ABC, abstractmethod
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.text import tokens
 from quern.runtime import Stash, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 _words = re.compile(r"\w+")
+POSTINGS, BLOCK, SAMPLE = 6_000_000, 60_000, 40_000
+"""A block of BM25 is closed after so many postings; partitions have about BLOCK documents; corpora larger than SAMPLE are bounded first."""
+ROUND = 100_000
+"""Queries that BM25 ranks, and broadcasts, at a time."""
+SLACK, TINY = 1e-8, 5e-10
+"""What bounds give way, more than rounding scores to nine places moves them; positive scores below TINY round to 0."""
 
 
 class Retriever(ABC):
@@ -40,12 +49,13 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 class BM25(Retriever):
     """Okapi BM25 over words. Negative idf values are replaced by EPSILON times the mean idf.
 
-    documents: (id, text, pos), id and pos unique; a null text has no words. The index holds the terms' counts for each
-    document, with the document's length, and the idf of each term. Only terms of the queries are read from it.
+    documents: (id, text, pos), id and pos unique; a null text has no words. The index holds the terms' counts of each
+    document, one row a document, and the idf of each term. Documents are ranked in blocks where they are read: each
+    block knows the terms of all queries of a round and gives its own best, so pairs of query and document never move.
     """
 
-    def __init__(self, lowercase: bool = True) -> None:
-        self.lowercase = lowercase
+    def __init__(self, lowercase: bool = True, postings: int = POSTINGS, round_size: int = ROUND, sample: int = SAMPLE) -> None:
+        self.lowercase, self.postings, self.round_size, self.sample = lowercase, postings, round_size, sample
 
     def index(self, documents: DataFrame) -> BM25:
         """Count the terms of each document in one narrow pass, and keep the counts as a table for all later plans."""
@@ -54,85 +64,222 @@ class BM25(Retriever):
 
         def count(batches):
             for batch in batches:
-                ids, pos, lengths, terms, times = [], [], [], [], []
-                for id_, at, text in zip(*(batch.column(c).to_pylist() for c in ("id", "pos", "text"))):
+                lengths, terms, times, ends = [], [], [], [0]
+                for text in batch.column("text").to_pylist():
                     words = _words.findall((text.lower() if lower else text) if text else "")
-                    found = Counter(words) or {None: 0}  # a document without words keeps a row
-                    ids += [id_] * len(found)
-                    pos += [at] * len(found)
-                    lengths += [len(words)] * len(found)
+                    found = Counter(words)
+                    lengths.append(len(words))
                     terms += found
                     times += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(pos, pa.int64()), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(times, pa.int32())], ["id", "pos", "dl", "term", "tf"])
-
-        schema = f"id {kind.simpleString()}, pos bigint, dl int, term string, tf int"
-        rows = stash.put(spread(documents.select("id", F.col("pos").cast("bigint").alias("pos"), "text")).mapInArrow(count, schema))
-        self.counts = rows.where("term is not null")
-        self.documents = rows.select("id", "pos", "dl").distinct()
-        weights = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))  # sums to 1 for each document
-        self.stats = rows.agg(F.round(F.sum(weights)).cast("bigint").alias("n_docs"), F.sum("tf").alias("n_words")).select("n_docs", (F.col("n_words") / F.col("n_docs")).alias("avgdl"))
+                    ends.append(len(terms))
+                ends = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((terms, pa.string()), (times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), pa.array(lengths, pa.int32()), *lists], ["id", "pos", "dl", "terms", "tfs"])
+
+        schema = f"id {kind.simpleString()}, pos bigint, dl int, terms array<string>, tfs array<int>"
+        self.rows = stash.put(spread(documents.select("id", F.col("pos").cast("bigint").alias("pos"), "text")).mapInArrow(count, schema))
+        self.stats = self.rows.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
         size = self.stats.first()
-        n_docs, self.avgdl, self.stash = size["n_docs"] or 0, size["avgdl"] or 1.0, stash
-        df = self.counts.groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        self.n_docs, self.avgdl, self.stash = size["n_docs"], size["avgdl"] or 1.0, stash
+        df = self.rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        raw = stash.put(df.withColumn("raw", F.log(F.lit(self.n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
         mean = raw.agg(F.avg("raw")).first()[0]
         self.common = EPSILON * (mean or 0.0)  # the idf of terms in more than half of the documents
         self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(self.common)).otherwise(F.col("raw")).alias("idf"))
         return self
 
-    def scores(self, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """(query_id, doc_id, pos, score) of the documents that share a term with the query; repeated terms count again.
-
-        With ``pairs`` (query_id, doc_id) only of those, whose terms alone are looked up.
-        """
-        asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("question"), self.lowercase)).alias("term"))
-        asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self.terms, "term")
-        if pairs is None:
-            found = self.counts.join(asked, "term")
-        else:
-            found = self.counts.join(asked.join(pairs.select("query_id", F.col("doc_id").alias("id")), "query_id"), ["id", "term"])
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl)))
-        return found.groupBy("query_id", F.col("id").alias("doc_id"), "pos").agg(F.sum(F.col("qtf") * weight).alias("score"))
-
     def rank(self, queries: DataFrame, k: int = 5, excluded: DataFrame | None = None) -> DataFrame:
         """The k best documents of each query. Those without a common term score 0 and stand, in their order, behind
         positive scores and before negative ones.
 
         Pairs (query_id, doc_id) that are ``excluded`` are passed over; the others keep their ranks among all documents.
         Scores can only be negative if the mean idf is, which takes a corpus whose words mostly stand in more than half
-        of its documents.
+        of its documents. Queries are ranked ``round_size`` at a time, so what is broadcast has a fixed size; each round
+        reads all documents.
         """
         pair = ["query_id", "doc_id"]
-        scored = self.scores(queries)
-        scored = self.stash.put(scored) if self.common <= 0 else scored
-        banned = None if excluded is None else self.stash.put(excluded.select(*pair).distinct())
-        kept = scored if banned is None else scored.join(banned, pair, "left_anti")
-        sign = F.signum(F.round("score", 9))
-        positive = self.stash.put(top_k(kept.where(sign > 0), k)).drop("rank")
-        full = positive.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-        short = self.stash.put(queries.select(F.col("id").alias("query_id")).distinct().join(full, "query_id", "left_anti"))
-        taken = positive.select(*pair)
-        taken = taken.unionByName(scored.where(sign < 0).select(*pair)) if self.common <= 0 else taken
-        taken = taken if banned is None else taken.unionByName(banned)
-        # as many of the first documents as a query that needs them can have taken, and k more
-        most = k if self.common > 0 and banned is None else taken.join(short, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        first = self.documents.orderBy("pos").limit(k + most).select(F.col("id").alias("doc_id"), "pos")
-        filled = short.crossJoin(first).join(taken, pair, "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"), "pos")
-        everything = positive.unionByName(top_k(filled, k).drop("rank").select("query_id", "doc_id", "score", "pos"))
-        if self.common <= 0:
-            negative = kept.where(sign < 0).join(short, "query_id", "left_semi")
-            everything = everything.unionByName(top_k(negative, k).drop("rank").select("query_id", "doc_id", "score", "pos"))
-        best = top_k(everything, k)
-        if banned is None:
+        asked = queries.select(F.col("id").alias("query_id"), "question")
+        rounds = max(1, -(-asked.select("query_id").distinct().count() // self.round_size))
+        parts = []
+        for n in range(rounds):
+            own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == n) if rounds > 1 else asked
+            parts.append(self.stash.put(self._round(own, k, excluded)))
+        found = reduce(DataFrame.unionByName, parts)
+        best = top_k(found.where("kept").drop("kept"), k)
+        if excluded is None:
             return best.drop("pos")
         best = self.stash.put(best)
-        places = banned.join(self.documents.select(F.col("id").alias("doc_id"), F.col("pos").alias("_pos")), "doc_id")
-        places = places.join(self.scores(queries, banned).select(*pair, F.col("score").alias("_score")), pair, "left").select("query_id", F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("_score"), "_pos")
+        places = found.where("not kept").select("query_id", F.round("score", 9).alias("_score"), F.col("pos").alias("_pos"))
         before = (F.col("_score") > F.round("score", 9)) | ((F.col("_score") == F.round("score", 9)) & (F.col("_pos") < F.col("pos")))
         ahead = best.join(places, "query_id").where(before).groupBy(*pair).agg(F.count("*").alias("_ahead"))
         ranked = best.join(ahead, pair, "left").withColumn("rank", (F.col("rank") + F.coalesce("_ahead", F.lit(0))).cast("int"))
         return ranked.select("query_id", "doc_id", "rank", "score")
 
+    def _round(self, asked: DataFrame, k: int, excluded: DataFrame | None) -> DataFrame:
+        """(query_id, doc_id, pos, score, kept): of each block its k best documents of each query, as far as they may be
+        among the k best of all, and, not kept, the excluded ones."""
+        words = asked.select("query_id", F.explode(tokens(F.col("question"), self.lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        held = asked.select("query_id").distinct().join(words.join(self.terms, "term"), "query_id", "left").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "idf").toArrow()
+        names = pc.unique(held.column("query_id").combine_chunks())
+        held = held.filter(pc.is_valid(held.column("term")))
+        vocabulary = pc.unique(held.column("term").combine_chunks())
+        query, term = (pc.index_in(held.column(c), values).to_numpy() for c, values in (("query_id", names), ("term", vocabulary)))
+        idf, weight = held.column("idf").to_numpy(), held.column("weight").to_numpy()
+        order = np.lexsort((term, -idf, query))  # rare terms first, in the same order in every block
+        ends = np.searchsorted(query[order], np.arange(len(names) + 1))
+        banned, out, apart = pa.array([], to_arrow_type(self.rows.schema["id"].dataType)), np.zeros(0, np.int64), np.zeros(len(names) + 1, np.int64)
+        if excluded is not None:
+            pairs = excluded.select("query_id", "doc_id").distinct().join(asked.select("query_id").distinct(), "query_id", "left_semi").toArrow()
+            banned = pc.unique(pairs.column("doc_id").combine_chunks())
+            whose, out = (pc.index_in(pairs.column(c), values).to_numpy().astype(np.int64) for c, values in (("query_id", names), ("doc_id", banned)))
+            by = np.argsort(whose, kind="stable")
+            out, apart = out[by], np.searchsorted(whose[by], np.arange(len(names) + 1))
+        context = self.rows.sparkSession.sparkContext
+        shared = context.broadcast((names, vocabulary, ends, term[order].astype(np.int32), weight[order], banned, out, apart))
+        asker = asked.schema["query_id"].dataType.simpleString()
+        cores, least = context.defaultParallelism, np.full(len(names), -np.inf)
+        if self.n_docs > self.sample:  # the k-th best of some documents bounds the k-th best of all from below
+            share = max(2, min(32, self.n_docs * 2 // self.sample))
+            some = self._blocks(self.rows.where(F.pmod(F.xxhash64("pos"), F.lit(share)) == 0).coalesce(cores), asker, shared, context.broadcast(least), k, False)
+            some = top_k(some.where("kept"), k).where(F.col("rank") == k).select("query_id", "score").toArrow()
+            least[pc.index_in(some.column("query_id"), names).to_numpy()] = some.column("score").to_numpy()
+        return self._blocks(self.rows.coalesce(max(cores, -(-self.n_docs // BLOCK))), asker, shared, context.broadcast(least), k, True)
+
+    def _blocks(self, rows: DataFrame, asker: str, shared, bounds, k: int, aside: bool) -> DataFrame:
+        """``asker``: the type of the queries' ids; ``aside``: also give the excluded documents."""
+        kind, most, avgdl, signed = rows.schema["id"].dataType.simpleString(), self.postings, self.avgdl, self.common <= 0
+
+        def search(batches):
+            names, vocabulary, ends, terms, weights, banned, out, apart = shared.value
+            least, parts, size = bounds.value.copy(), [], 0
+
+            def ranked():
+                block = _Block(parts, vocabulary, banned, avgdl)
+                for at in range(0, len(names), 8192):
+                    found = ([], [], [], [])
+                    for q in range(at, min(at + 8192, len(names))):
+                        mine = slice(ends[q], ends[q + 1])
+                        gone = block.banned[out[apart[q] : apart[q + 1]]]
+                        gone = gone[gone >= 0]
+                        docs, scores, least[q] = block.best(terms[mine], weights[mine], gone, k, least[q], signed)
+                        kept = [(docs, scores, True)]
+                        if aside and len(gone):
+                            kept.append((gone, block.scores(terms[mine], weights[mine], gone), False))
+                        for d, s, flag in kept:
+                            if len(d):
+                                for column, value in zip(found, (np.full(len(d), q), d, s, np.full(len(d), flag))):
+                                    column.append(value)
+                    if found[0]:
+                        q, d, s, flag = map(np.concatenate, found)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), block.ids.take(pa.array(d)), pa.array(block.pos[d]), pa.array(s), pa.array(flag)], ["query_id", "doc_id", "pos", "score", "kept"])
+
+            for batch in batches:
+                parts.append(batch)
+                size += len(batch.column("terms").flatten())
+                if size >= most:
+                    yield from ranked()
+                    parts, size = [], 0
+            if parts:
+                yield from ranked()
+
+        return rows.select("id", "pos", "dl", "terms", "tfs").mapInArrow(search, f"query_id {asker}, doc_id {kind}, pos bigint, score double, kept boolean")
+
+
+class _Block:
+    """Documents in the order of their positions, with their postings of the queries' terms."""
+
+    def __init__(self, batches: list[pa.RecordBatch], vocabulary: pa.Array, banned: pa.Array, avgdl: float) -> None:
+        whole = pa.Table.from_batches(batches)
+        pos = whole.column("pos").to_numpy()
+        order = np.argsort(pos, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.pos, self.ids = pos[order], whole.column("id").combine_chunks().take(pa.array(order))
+        found = pc.index_in(banned, self.ids)
+        self.banned = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        terms, docs, base, at = [], [], [], 0
+        for batch in batches:
+            own = pc.fill_null(pc.index_in(batch.column("terms").flatten(), vocabulary), -1).to_numpy()
+            rows = np.repeat(np.arange(len(batch), dtype=np.int32), pc.list_value_length(batch.column("terms")).to_numpy())
+            use = np.flatnonzero(own >= 0)
+            rows, tf = rows[use], batch.column("tfs").flatten().to_numpy()[use]
+            terms.append(own[use])
+            docs.append(place[at + rows])
+            base.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[rows] / avgdl)))
+            at += len(batch)
+        terms, docs, base = map(np.concatenate, (terms, docs, base))
+        by = np.argsort(terms.astype(np.int64) * len(pos) + docs)
+        self.docs, self.base = docs[by].astype(np.int64), base[by]
+        edges = np.searchsorted(terms[by], np.arange(len(vocabulary) + 1))
+        full = np.flatnonzero(np.diff(edges))
+        self.most = np.zeros(len(vocabulary))
+        self.most[full] = np.maximum.reduceat(self.base, edges[full]) if len(full) else 0
+        self.edges, self.sums = edges, np.zeros(len(pos))
+
+    def _postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.edges[term], self.edges[term + 1])
+        return self.docs[at], self.base[at]
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Of some documents."""
+        sums = np.zeros(len(docs))
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            self._add(sums, docs, t, w)
+        return sums
+
+    def _add(self, sums: np.ndarray, docs: np.ndarray, term: int, weight: float) -> None:
+        own, base = self._postings(term)
+        if len(own):
+            at = np.minimum(np.searchsorted(own, docs), len(own) - 1)
+            sums += np.where(own[at] == docs, base[at] * weight, 0.0)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, gone: np.ndarray, k: int, least: float, signed: bool) -> tuple[np.ndarray, np.ndarray, float]:
+        """The k best documents that aren't ``gone`` and may reach ``least``, their scores, and what the k-th best of all
+        has at least.
+
+        Terms are added from the rarest on until the rest of them can't lift a document without them to the bound; the
+        rest is then looked up for the documents that may still reach it.
+        """
+        sums = self.sums
+        held = self.edges[terms + 1] > self.edges[terms]
+        terms, weights = terms[held].tolist(), weights[held]
+        rest = np.append(np.cumsum((weights * self.most[terms])[::-1])[::-1], 0.0).tolist() if terms else [0.0]
+        weights = weights.tolist()
+        if not signed and rest[0] < least - SLACK:
+            return gone[:0], sums[:0], least
+        sums[:] = 0.0
+        sums[gone] = -np.inf
+        at = 0
+        while at < len(terms) and (signed or rest[at] >= least - SLACK or least <= SLACK):
+            docs, base = self._postings(terms[at])
+            now = sums[docs] + base * weights[at]
+            sums[docs] = now
+            if not signed and k <= len(now) <= 65536:
+                least = max(least, float(np.partition(now, len(now) - k)[len(now) - k]))
+            at += 1
+        if signed:
+            docs = np.flatnonzero(sums > -np.inf)
+        else:
+            docs = np.flatnonzero(sums >= max(least - rest[at] - SLACK, TINY))
+        values = sums[docs]
+        for n in range(at, len(terms)):
+            self._add(values, docs, terms[n], weights[n])
+            keep = values >= least - rest[n + 1] - SLACK
+            docs, values = docs[keep], values[keep]
+        if len(docs) > k:
+            short = np.round(values, 9)
+            keep = short >= np.partition(short, len(short) - k)[len(short) - k]
+            docs, values, short = docs[keep], values[keep], short[keep]
+            order = np.lexsort((docs, -short))[:k]
+            docs, values = docs[order], values[order]
+        if len(docs) == k and k:
+            least = max(least, float(values.min()))
+        elif len(docs) < k and least <= SLACK and not signed:  # the first documents without a score
+            first = np.arange(min(len(sums), k + len(docs) + len(gone)))
+            first = first[~np.isin(first, docs) & ~np.isin(first, gone)][: k - len(docs)]
+            docs, values = np.concatenate((docs, first)), np.concatenate((values, np.zeros(len(first))))
+        return docs, values, least
+
 
 def _matrices(vectors: DataFrame, rows: int) -> DataFrame:
     """(ids, pos, matrix): vectors in blocks of at most so many rows; null vectors are left out."""

@@ -130,3 +130,34 @@ def test_training_examples(spark):
     assert [r["id"] for r in got] == ["a"]
     assert {(c["doc_id"], c["relevant"]) for c in got[0]["contexts"]} == {("d1", True), ("d3", False)}
     assert (got[0]["evidence_doc_ids"], got[0]["problems"]) == (["d1"], [])
+
+
+@pytest.mark.parametrize("postings", [40, 10_000])
+def test_bm25_in_blocks_and_rounds(spark, postings):
+    """Rare, common and repeated terms, equal documents, and more queries and documents than a round and a block hold."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i}", " ".join(rng.choices(words, [1 / (n + 1) for n in range(60)], k=rng.randint(0, 25))), i * 3) for i in range(400)]
+    docs += [(f"s{i}", docs[i % 7][1], 2000 - i) for i in range(60)]
+    docs.sort(key=lambda d: d[2])
+    queries = [(f"q{i}", " ".join(rng.choices(words, k=rng.randint(1, 8)))) for i in range(40)] + [("none", "zz"), ("same", docs[0][1]), ("null", None)]
+    banned = [(q, f"d{rng.randint(0, 399)}") for q, _ in queries for _ in range(5)] + [(q, "gone") for q, _ in queries]
+    index = ranking.BM25(postings=postings, round_size=15, sample=100).index(spark.createDataFrame(rng.sample(docs, len(docs)), DOCS).repartition(3))
+    asked = spark.createDataFrame(queries, QUERIES)
+    one = index.rank(asked, 6).collect()
+    other = index.rank(asked, 4, excluded=spark.createDataFrame(banned, "query_id string, doc_id string")).collect()
+    for id_, text in queries:
+        want = bm25_by_hand(docs, text or "", len(docs))
+        for got, k, without in ((one, 6, ()), (other, 4, banned)):
+            rows = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["query_id"] == id_)
+            assert [(d, n, s) for n, d, s in rows] == [x for x in want if (id_, x[0]) not in without][:k]
+
+
+def test_bm25_moves_no_pairs(spark):
+    """What is shuffled follows the queries' best documents, not all documents that share a word with a query."""
+    docs = spark.range(3000).selectExpr("concat('d', id) as id", "concat('the note on item ', id % 1500, ' of the shop') as text", "id as pos")
+    asked = spark.range(200).selectExpr("concat('q', id) as id", "concat('the note on item ', id * 5) as question")
+    index = ranking.BM25(sample=500).index(docs)
+    found = index._round(asked.withColumnRenamed("id", "query_id"), 2, None)
+    assert found.count() < 200 * 2 * max(4, found.rdd.getNumPartitions()) < 200 * 3000
+    assert index.rank(asked, 2).count() == 400
