@@ -185,6 +185,11 @@ class BM25(Retriever):
         return rows.select("id", "pos", "dl", "terms", "tfs").mapInArrow(search, f"query_id {asker}, doc_id {kind}, pos bigint, score double, kept boolean")
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest."""
+    return float(np.partition(values, len(values) - k)[len(values) - k])
+
+
 class _Block:
     """Documents in the order of their positions, with their postings of the queries' terms."""
 
@@ -254,8 +259,8 @@ class _Block:
             docs, base = self._postings(terms[at])
             now = sums[docs] + base * weights[at]
             sums[docs] = now
-            if not signed and k <= len(now) <= 65536:
-                least = max(least, float(np.partition(now, len(now) - k)[len(now) - k]))
+            if not signed and k <= len(now) <= 4096:
+                least = max(least, _kth(now, k))
             at += 1
         if signed:
             docs = np.flatnonzero(sums > -np.inf)
@@ -263,12 +268,22 @@ class _Block:
             docs = np.flatnonzero(sums >= max(least - rest[at] - SLACK, TINY))
         values = sums[docs]
         for n in range(at, len(terms)):
-            self._add(values, docs, terms[n], weights[n])
+            if len(docs) > 4 * k + 16:  # what they have so far may raise the bound
+                least = max(least, _kth(values, k))
+                keep = values >= least - rest[n] - SLACK
+                docs, values = docs[keep], values[keep]
+            own, base = self._postings(terms[n])
+            if len(own) <= 8 * len(docs):
+                sums[docs] = values
+                sums[own] += base * weights[n]
+                values = sums[docs]
+            elif len(docs):
+                self._add(values, docs, terms[n], weights[n])
             keep = values >= least - rest[n + 1] - SLACK
             docs, values = docs[keep], values[keep]
         if len(docs) > k:
             short = np.round(values, 9)
-            keep = short >= np.partition(short, len(short) - k)[len(short) - k]
+            keep = short >= _kth(short, k)
             docs, values, short = docs[keep], values[keep], short[keep]
             order = np.lexsort((docs, -short))[:k]
             docs, values = docs[order], values[order]
