@@ -168,3 +168,20 @@ def test_overlaps_of_short_and_repetitive_questions(spark):
     e, t = (spark.createDataFrame(x, "id string, question string") for x in (evals, trains))
     found = {(r["eval_id"], r["train_id"]) for r in overlaps.split_overlaps(e, t).collect()}
     assert found == brute_overlaps(evals, trains) and ("e", "t") in found
+
+
+def test_overlaps_in_rounds_move_no_candidates(spark, monkeypatch):
+    """Questions of one template all meet; several rounds find the same pairs, and only pairs that are similar are written."""
+    rng = random.Random(9)
+    trains = [(f"t{i}", f"which component keeps {rng.choice('abcdefgh') * 4} label {rng.randint(0, 60)} for the ranker \U0001f600") for i in range(120)] + [("u", "a퟿b c")]
+    evals = [(f"e{i}", q.replace("keeps", "holds") if i % 2 else q) for i, (_, q) in enumerate(trains[:50])] + [("v", "A퟿b C!")]
+    e, t = (spark.createDataFrame(x, "id string, question string") for x in (evals, trains))
+    want = brute_overlaps(evals, trains)
+    for size in (100_000, 7):
+        monkeypatch.setattr(overlaps, "ROUND", size)
+        written, put = [], overlaps.Stash.put
+        monkeypatch.setattr(overlaps.Stash, "put", lambda self, df: written.append(put(self, df)) or written[-1])
+        found = [(r["eval_id"], r["train_id"]) for r in overlaps.split_overlaps(e, t).collect()]
+        monkeypatch.setattr(overlaps.Stash, "put", put)
+        assert set(found) == want and len(found) == len(want)
+        assert not any({"ta", "tb"} == set(x.columns) or "key" in x.columns for x in written)
