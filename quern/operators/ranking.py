@@ -77,17 +77,23 @@ class BM25(Retriever):
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), pa.array(lengths, pa.int32()), *lists], ["id", "pos", "dl", "terms", "tfs"])
 
         schema = f"id {kind.simpleString()}, pos bigint, dl int, terms array<string>, tfs array<int>"
-        self.rows = stash.put(spread(documents.select("id", F.col("pos").cast("bigint").alias("pos"), "text")).mapInArrow(count, schema))
+        self.rows = stash.put(spread(documents.select("id", F.col("pos").cast("bigint").alias("pos"), "text")).mapInArrow(count, schema), "zstd")
         self.stats = self.rows.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
         size = self.stats.first()
         self.n_docs, self.avgdl, self.stash = size["n_docs"], size["avgdl"] or 1.0, stash
         df = self.rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        raw = stash.put(df.withColumn("raw", F.log(F.lit(self.n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+        raw = stash.put(df.withColumn("raw", F.log(F.lit(self.n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "zstd")
         mean = raw.agg(F.avg("raw")).first()[0]
         self.common = EPSILON * (mean or 0.0)  # the idf of terms in more than half of the documents
         self.terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(self.common)).otherwise(F.col("raw")).alias("idf"))
+        self.written = self.rows, raw
         return self
 
+    def release(self) -> None:
+        """Delete the index; rankings that were made stay, as they are written."""
+        for frame in self.written:
+            self.stash.release(frame)
+
     def rank(self, queries: DataFrame, k: int = 5, excluded: DataFrame | None = None) -> DataFrame:
         """The k best documents of each query. Those without a common term score 0 and stand, in their order, behind
         positive scores and before negative ones.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import mining, ranking
+from quern.operators.records import deliveries_once
 from quern.plans.common import EVAL, NUMBER, SEED, TOP_K, TRAIN, asked, documents, examples, relevant, sql_clean, sql_hash, sql_words
 from quern.runtime import Stash, table
 
@@ -15,7 +16,10 @@ def _rounded(rankings: DataFrame) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
-    return ranking.BM25().index(documents(spark, sf_dir)).rank(queries, k)
+    index = ranking.BM25().index(documents(spark, sf_dir))
+    ranked = index.rank(queries, k)
+    index.release()
+    return ranked
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +33,8 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = asked(examples(spark, sf_dir))
+    # ids decide which examples ask, so only those are looked through for repeats, and once
+    queries = Stash(spark).put(deliveries_once(asked(table(spark, sf_dir, "eval"))).select("id", "question", "relevant_doc_ids"))
     return ranking.retrieval_measures(_bm25(spark, sf_dir, queries, TOP_K), relevant(queries), TOP_K)
 
 

@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 
 import compare
-from quern.plans import registry
+from quern.plans import registry, retrieval
+from quern.runtime import shared_folder
 
 pytestmark = pytest.mark.skipif(not compare.FOLDER.exists(), reason="no test tables here")
 
@@ -15,3 +18,14 @@ def test_the_entry_runs(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_retrieval_metrics_keep_neither_index_nor_examples(spark):
+    """Once the queries are ranked, the disk holds their rankings, not the corpus, and nothing reads the tables again."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = held()
+    found = retrieval.retrieval_metrics(spark, str(compare.FOLDER))
+    assert held() - before < (compare.FOLDER / "documents.parquet").stat().st_size
+    assert not [f for f in found.inputFiles() if str(compare.FOLDER) in f]
+    assert found.collect() == found.collect()
