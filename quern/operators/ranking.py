@@ -24,8 +24,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 _words = re.compile(r"\w+")
 POSTINGS, BLOCK, SAMPLE = 6_000_000, 60_000, 40_000
 """A block of BM25 is closed after so many postings; partitions have about BLOCK documents; corpora larger than SAMPLE are bounded first."""
-ROUND = 100_000
-"""Queries that BM25 ranks, and broadcasts, at a time."""
+ROUND, PAIRS = 250_000, 1_000_000
+"""Queries that BM25 ranks, and broadcasts, at a time; pairs of query and document that a block holds at a time."""
+OFTEN = 1000
+"""Terms in more than one of so many documents are common; queries with the same common terms are scored for these together."""
 SLACK, TINY = 1e-8, 5e-10
 """What bounds give way, more than rounding scores to nine places moves them; positive scores below TINY round to 0."""
 
@@ -52,10 +54,12 @@ class BM25(Retriever):
     documents: (id, text, pos), id and pos unique; a null text has no words. The index holds the terms' counts of each
     document, one row a document, and the idf of each term. Documents are ranked in blocks where they are read: each
     block knows the terms of all queries of a round and gives its own best, so pairs of query and document never move.
+    Queries with the same common terms are one part: a block is searched for the part once, and each of its queries adds
+    the few documents that have its rare terms.
     """
 
-    def __init__(self, lowercase: bool = True, postings: int = POSTINGS, round_size: int = ROUND, sample: int = SAMPLE) -> None:
-        self.lowercase, self.postings, self.round_size, self.sample = lowercase, postings, round_size, sample
+    def __init__(self, lowercase: bool = True, postings: int = POSTINGS, round_size: int = ROUND, sample: int = SAMPLE, often: int = OFTEN) -> None:
+        self.lowercase, self.postings, self.round_size, self.sample, self.often = lowercase, postings, round_size, sample, often
 
     def index(self, documents: DataFrame) -> BM25:
         """Count the terms of each document in one narrow pass, and keep the counts as a table for all later plans."""
@@ -104,12 +108,21 @@ class BM25(Retriever):
         reads all documents.
         """
         pair = ["query_id", "doc_id"]
-        asked = queries.select(F.col("id").alias("query_id"), "question")
-        rounds = max(1, -(-asked.select("query_id").distinct().count() // self.round_size))
+        written = asked = self.stash.put(self._parts(queries.select(F.col("id").alias("query_id"), "question")), "zstd")
+        if excluded is not None:
+            excluded = self.stash.put(excluded.select(*pair).distinct(), "zstd")
+        rounds = max(1, -(-asked.count() // self.round_size))
+        if rounds > 1:  # a part stays in one round unless its queries are too many
+            large = max(1, self.round_size // 8)
+            many = asked.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > large)
+            cell = F.pmod(F.xxhash64("query_id"), F.coalesce(F.ceil(F.col("n") / large), F.lit(1)))
+            asked = asked.join(F.broadcast(many), "part", "left").withColumn("round", F.pmod(F.xxhash64("part", cell), F.lit(rounds))).drop("n")
         parts = []
         for n in range(rounds):
-            own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == n) if rounds > 1 else asked
+            own = asked.where(F.col("round") == n) if rounds > 1 else asked
             parts.append(self.stash.put(self._round(own, k, excluded)))
+        self.stash.release(written)
+        self.stash.release(excluded)
         found = reduce(DataFrame.unionByName, parts)
         best = top_k(found.where("kept").drop("kept"), k)
         if excluded is None:
@@ -121,27 +134,39 @@ class BM25(Retriever):
         ranked = best.join(ahead, pair, "left").withColumn("rank", (F.col("rank") + F.coalesce("_ahead", F.lit(0))).cast("int"))
         return ranked.select("query_id", "doc_id", "rank", "score")
 
+    def _parts(self, asked: DataFrame) -> DataFrame:
+        """(query_id, part, common, rare) of (query_id, question): the terms of each query as (order, term, weight), and a
+        digest of the common ones. All terms count as common if scores may be negative."""
+        words = asked.select("query_id", F.explode(tokens(F.col("question"), self.lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        each = F.struct((-F.col("idf")).alias("order"), "term", (F.col("qtf") * F.col("idf")).alias("weight"))  # rare terms first, in the same order in every block
+        often = F.col("df") * self.often > self.n_docs if self.common > 0 else F.lit(True)
+        lists = [F.sort_array(F.collect_list(F.when(x, each))).alias(y) for x, y in ((often, "common"), (~often, "rare"))]
+        held = words.join(self.terms, "term").groupBy("query_id").agg(*lists)
+        whole = asked.select("query_id").distinct().join(held, "query_id", "left")
+        return whole.select("query_id", F.unhex(F.md5(F.coalesce(F.to_json("common"), F.lit("[]")))).alias("part"), "common", "rare")
+
     def _round(self, asked: DataFrame, k: int, excluded: DataFrame | None) -> DataFrame:
         """(query_id, doc_id, pos, score, kept): of each block its k best documents of each query, as far as they may be
-        among the k best of all, and, not kept, the excluded ones."""
-        words = asked.select("query_id", F.explode(tokens(F.col("question"), self.lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        held = asked.select("query_id").distinct().join(words.join(self.terms, "term"), "query_id", "left").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "idf").toArrow()
-        names = pc.unique(held.column("query_id").combine_chunks())
-        held = held.filter(pc.is_valid(held.column("term")))
-        vocabulary = pc.unique(held.column("term").combine_chunks())
-        query, term = (pc.index_in(held.column(c), values).to_numpy() for c, values in (("query_id", names), ("term", vocabulary)))
-        idf, weight = held.column("idf").to_numpy(), held.column("weight").to_numpy()
-        order = np.lexsort((term, -idf, query))  # rare terms first, in the same order in every block
-        ends = np.searchsorted(query[order], np.arange(len(names) + 1))
+        among the k best of all, and, not kept, the excluded ones. asked: (query_id, question), or rows of ``_parts``."""
+        asked = asked if "part" in asked.columns else self._parts(asked)
+        shown = asked.groupBy("part").agg(F.any_value("common").alias("common")).select("part", F.col("common.term").alias("terms"), F.col("common.weight").alias("weights")).toArrow()
+        held = asked.select("query_id", "part", F.col("rare.term").alias("terms"), F.col("rare.weight").alias("weights")).toArrow()
+        part = pc.index_in(held.column("part"), shown.column("part").combine_chunks()).to_numpy()
+        by = np.argsort(part, kind="stable")
+        held, part = held.take(pa.array(by)), part[by]
+        names = held.column("query_id").combine_chunks()
+        (common, weights, ends), (rare, shares, edges) = map(_flat, (shown, held))
+        vocabulary = pc.unique(pa.concat_arrays([common, rare]))
+        common, rare = (pc.index_in(x, vocabulary).to_numpy().astype(np.int32) for x in (common, rare))
         banned, out, apart = pa.array([], to_arrow_type(self.rows.schema["id"].dataType)), np.zeros(0, np.int64), np.zeros(len(names) + 1, np.int64)
         if excluded is not None:
-            pairs = excluded.select("query_id", "doc_id").distinct().join(asked.select("query_id").distinct(), "query_id", "left_semi").toArrow()
+            pairs = excluded.select("query_id", "doc_id").distinct().join(asked.select("query_id"), "query_id", "left_semi").toArrow()
             banned = pc.unique(pairs.column("doc_id").combine_chunks())
             whose, out = (pc.index_in(pairs.column(c), values).to_numpy().astype(np.int64) for c, values in (("query_id", names), ("doc_id", banned)))
             by = np.argsort(whose, kind="stable")
             out, apart = out[by], np.searchsorted(whose[by], np.arange(len(names) + 1))
         context = self.rows.sparkSession.sparkContext
-        shared = context.broadcast((names, vocabulary, ends, term[order].astype(np.int32), weight[order], banned, out, apart))
+        shared = context.broadcast((names, part, vocabulary, (common, weights, ends), (rare, shares, edges), banned, out, apart))
         asker = asked.schema["query_id"].dataType.simpleString()
         cores, least = context.defaultParallelism, np.full(len(names), -np.inf)
         if self.n_docs > self.sample:  # the k-th best of some documents bounds the k-th best of all from below
@@ -156,28 +181,13 @@ class BM25(Retriever):
         kind, most, avgdl, signed = rows.schema["id"].dataType.simpleString(), self.postings, self.avgdl, self.common <= 0
 
         def search(batches):
-            names, vocabulary, ends, terms, weights, banned, out, apart = shared.value
+            names, part, vocabulary, common, rare, banned, out, apart = shared.value
             least, parts, size = bounds.value.copy(), [], 0
 
             def ranked():
                 block = _Block(parts, vocabulary, banned, avgdl)
-                for at in range(0, len(names), 8192):
-                    found = ([], [], [], [])
-                    for q in range(at, min(at + 8192, len(names))):
-                        mine = slice(ends[q], ends[q + 1])
-                        gone = block.banned[out[apart[q] : apart[q + 1]]]
-                        gone = gone[gone >= 0]
-                        docs, scores, least[q] = block.best(terms[mine], weights[mine], gone, k, least[q], signed)
-                        kept = [(docs, scores, True)]
-                        if aside and len(gone):
-                            kept.append((gone, block.scores(terms[mine], weights[mine], gone), False))
-                        for d, s, flag in kept:
-                            if len(d):
-                                for column, value in zip(found, (np.full(len(d), q), d, s, np.full(len(d), flag))):
-                                    column.append(value)
-                    if found[0]:
-                        q, d, s, flag = map(np.concatenate, found)
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), block.ids.take(pa.array(d)), pa.array(block.pos[d]), pa.array(s), pa.array(flag)], ["query_id", "doc_id", "pos", "score", "kept"])
+                for q, d, s, flag in block.ranked(part, common, rare, out, apart, k, least, signed, aside):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), block.ids.take(pa.array(d)), pa.array(block.pos[d]), pa.array(s), pa.array(flag)], ["query_id", "doc_id", "pos", "score", "kept"])
 
             for batch in batches:
                 parts.append(batch)
@@ -191,6 +201,18 @@ class BM25(Retriever):
         return rows.select("id", "pos", "dl", "terms", "tfs").mapInArrow(search, f"query_id {asker}, doc_id {kind}, pos bigint, score double, kept boolean")
 
 
+def _flat(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The terms and weights of all rows, and where each row's begin."""
+    terms, weights = (table.column(c).combine_chunks() for c in ("terms", "weights"))
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+    return terms.flatten(), weights.flatten().to_numpy(), np.cumsum([0, *sizes])
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _kth(values: np.ndarray, k: int) -> float:
     """The k-th largest."""
     return float(np.partition(values, len(values) - k)[len(values) - k])
@@ -244,9 +266,76 @@ class _Block:
             at = np.minimum(np.searchsorted(own, docs), len(own) - 1)
             sums += np.where(own[at] == docs, base[at] * weight, 0.0)
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, gone: np.ndarray, k: int, least: float, signed: bool) -> tuple[np.ndarray, np.ndarray, float]:
-        """The k best documents that aren't ``gone`` and may reach ``least``, their scores, and what the k-th best of all
-        has at least.
+    def ranked(self, part: np.ndarray, common: tuple, rare: tuple, out: np.ndarray, apart: np.ndarray, k: int, least: np.ndarray, signed: bool, aside: bool):
+        """Arrays (query, document, score, kept): the k best documents of each query, and, if ``aside``, the excluded ones.
+
+        part: of each query, in order; common and rare: terms, weights and where the parts' or queries' begin; out, apart:
+        the excluded documents and where the queries' begin; least: what the k-th best of a query has at least, raised here.
+        """
+        gone = self.banned[out]
+        kept = np.append(0, np.cumsum(gone >= 0))
+        barred = np.diff(kept[apart])  # of each query, in this block
+        found = np.append(0, np.cumsum(np.diff(self.edges)[rare[0]]))
+        load = np.cumsum(k + barred + np.diff(found[rare[2]])) // PAIRS
+        cuts = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                mine = np.arange(a, b)
+                bans = np.repeat(mine, np.diff(apart[a : b + 1])) * len(self.pos) + gone[apart[a] : apart[b]]
+                bans = np.unique(bans[gone[apart[a] : apart[b]] >= 0])
+                yield from self._ranked(a, b, part[a:b], common, rare, bans, barred[a:b], k, least, signed, aside)
+
+    def _ranked(self, a: int, b: int, part: np.ndarray, common: tuple, rare: tuple, bans: np.ndarray, barred: np.ndarray, k: int, least: np.ndarray, signed: bool, aside: bool):
+        """Of the queries from a to b; bans: their excluded documents, pairs are query * documents + document.
+
+        A query's best are among the documents with rare terms of its own and as many of its part's best as it wants and
+        excludes, as rare terms only add to a score.
+        """
+        total, at = len(self.pos), slice(rare[2][a], rare[2][b])
+        terms = rare[0][at]
+        sizes = self.edges[terms + 1] - self.edges[terms]
+        which = _runs(self.edges[terms], sizes)
+        pairs = np.repeat(np.repeat(np.arange(a, b), np.diff(rare[2][a : b + 1])), sizes) * total + self.docs[which]
+        own, place = np.unique(np.concatenate((pairs, bans)), return_inverse=True)
+        added = np.bincount(place[: len(pairs)], self.base[which] * np.repeat(rare[1][at], sizes), len(own))
+        starts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), b - a)
+        edges = np.searchsorted(own, (a + starts) * total)
+        scores, tops, lists = np.zeros(len(own)), [], [0]
+        lows, most = (f.reduceat(x, starts[:-1]).tolist() for f, x in ((np.minimum, least[a:b]), (np.maximum, barred)))
+        for n, p in enumerate(part[starts[:-1]].tolist()):
+            mine = slice(common[2][p], common[2][p + 1])
+            terms, weights = common[0][mine], common[1][mine]
+            tops.append(self.best(terms, weights, k + most[n], lows[n], signed))
+            lists.append(lists[-1] + len(tops[-1][0]))
+            if edges[n] < edges[n + 1]:
+                rows = slice(edges[n], edges[n + 1])
+                scores[rows] = self.scores(terms, weights, own[rows] % total)
+        scores += added
+        docs, values = (np.concatenate(x) for x in zip(*tops))
+        lists = np.array(lists)
+        sizes = np.repeat(np.diff(lists), np.diff(starts))
+        sizes = np.minimum(sizes, k + barred)
+        which, asker = _runs(np.repeat(lists[:-1], np.diff(starts)), sizes), np.repeat(np.arange(a, b), sizes)
+        fit = values[which] >= least[asker] - SLACK
+        which, asker = which[fit], asker[fit]
+        pairs = asker * total + docs[which]
+        new = ~np.isin(pairs, own, assume_unique=True)
+        free = ~np.isin(own, bans, assume_unique=True) & (scores >= least[own // total] - SLACK)
+        pairs, values = np.concatenate((pairs[new], own[free])), np.concatenate((values[which][new], scores[free]))
+        query, docs = pairs // total, pairs % total
+        order = np.lexsort((docs, -np.round(values, 9), query))
+        query, docs, values = query[order], docs[order], values[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        last = rank == k - 1
+        least[query[last]] = np.maximum(least[query[last]], values[last])
+        best = rank < k
+        yield query[best], docs[best], values[best], np.full(np.count_nonzero(best), True)
+        if aside and len(bans):
+            yield bans // total, bans % total, scores[np.searchsorted(own, bans)], np.full(len(bans), False)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float, signed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents that may reach ``least``, in order, and their scores.
 
         Terms are added from the rarest on until the rest of them can't lift a document without them to the bound; the
         rest is then looked up for the documents that may still reach it.
@@ -257,9 +346,8 @@ class _Block:
         rest = np.append(np.cumsum((weights * self.most[terms])[::-1])[::-1], 0.0).tolist() if terms else [0.0]
         weights = weights.tolist()
         if not signed and rest[0] < least - SLACK:
-            return gone[:0], sums[:0], least
+            return np.zeros(0, np.int64), np.zeros(0)
         sums[:] = 0.0
-        sums[gone] = -np.inf
         at = 0
         while at < len(terms) and (signed or rest[at] >= least - SLACK or least <= SLACK):
             docs, base = self._postings(terms[at])
@@ -269,7 +357,7 @@ class _Block:
                 least = max(least, _kth(now, k))
             at += 1
         if signed:
-            docs = np.flatnonzero(sums > -np.inf)
+            docs = np.arange(len(sums))
         else:
             docs = np.flatnonzero(sums >= max(least - rest[at] - SLACK, TINY))
         values = sums[docs]
@@ -287,19 +375,17 @@ class _Block:
                 self._add(values, docs, terms[n], weights[n])
             keep = values >= least - rest[n + 1] - SLACK
             docs, values = docs[keep], values[keep]
+        short = np.round(values, 9)
         if len(docs) > k:
-            short = np.round(values, 9)
             keep = short >= _kth(short, k)
             docs, values, short = docs[keep], values[keep], short[keep]
-            order = np.lexsort((docs, -short))[:k]
-            docs, values = docs[order], values[order]
-        if len(docs) == k and k:
-            least = max(least, float(values.min()))
-        elif len(docs) < k and least <= SLACK and not signed:  # the first documents without a score
-            first = np.arange(min(len(sums), k + len(docs) + len(gone)))
-            first = first[~np.isin(first, docs) & ~np.isin(first, gone)][: k - len(docs)]
+        order = np.lexsort((docs, -short))[:k]
+        docs, values = docs[order], values[order]
+        if len(docs) < k and least <= SLACK and not signed:  # the first documents without a score
+            first = np.arange(min(len(sums), k + len(docs)))
+            first = first[~np.isin(first, docs)][: k - len(docs)]
             docs, values = np.concatenate((docs, first)), np.concatenate((values, np.zeros(len(first))))
-        return docs, values, least
+        return docs, values
 
 
 def _matrices(vectors: DataFrame, rows: int) -> DataFrame:

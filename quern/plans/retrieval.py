@@ -15,15 +15,15 @@ def _rounded(rankings: DataFrame) -> DataFrame:
     return rankings.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
     index = ranking.BM25().index(documents(spark, sf_dir))
-    ranked = index.rank(queries, k)
+    ranked = index.rank(queries, k, excluded)
     index.release()
     return ranked
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_bm25(spark, sf_dir, asked(examples(spark, sf_dir)), TOP_K))
+    return _rounded(_bm25(spark, sf_dir, examples(spark, sf_dir), TOP_K))
 
 
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,7 @@ al AS (SELECT u.id AS qid, d.id, d.pos, coalesce(s.s, 0) AS s FROM ({queries}) u
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, pos) AS rank FROM al) WHERE rank <= {k})"""
 
 
+_ALL = "SELECT id, question FROM ev"
 _ASKED = f"SELECT id, question FROM ev WHERE {NUMBER} % 20 = 0"
 _ASKED_TRAIN = f"SELECT id, question FROM tr WHERE {NUMBER} % 20 = 0"
 
@@ -139,7 +140,7 @@ neg AS (SELECT * FROM (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDE
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_stats, bm25_common_terms, retrieval_metrics, dense_topk, dense_label_metrics, dense_cells_recall, hard_negatives, random_negatives, raft_examples)}
 SQL = {
-    "bm25_topk": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
+    "bm25_topk": f"WITH {EVAL}, {bm25_sql(_ALL, '5')} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
     "bm25_index_stats": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')} SELECT n AS n_docs, round(a, 6) AS avgdl, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, round(avg(i), 6) AS mean_idf FROM idf, st GROUP BY n, a",
     "retrieval_metrics": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')}, " + _measures_sql(f"SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM ev WHERE {NUMBER} % 20 = 0"),
     "bm25_common_terms": f"""WITH documents AS (SELECT 'n' || n_nationkey AS id, CAST(n_nationkey AS BIGINT) AS doc_id, 'all' || CASE WHEN n_nationkey % 5 <> 0 THEN ' most' ELSE '' END || CASE WHEN n_nationkey % 3 <> 0 THEN ' many' ELSE '' END || CASE WHEN n_nationkey % 2 = 0 THEN ' half half' ELSE '' END AS text FROM nation),

@@ -4,7 +4,7 @@ import pytest
 
 import compare
 from quern.plans import registry, retrieval
-from quern.runtime import shared_folder
+from quern.runtime import shared_folder, table
 
 pytestmark = pytest.mark.skipif(not compare.FOLDER.exists(), reason="no test tables here")
 
@@ -29,3 +29,8 @@ def test_retrieval_metrics_keep_neither_index_nor_examples(spark):
     assert held() - before < (compare.FOLDER / "documents.parquet").stat().st_size
     assert not [f for f in found.inputFiles() if str(compare.FOLDER) in f]
     assert found.collect() == found.collect()
+
+
+def test_bm25_topk_ranks_every_example(spark):
+    every = {r["id"] for r in table(spark, str(compare.FOLDER), "eval").where("id is not null").collect()}
+    assert {r["query_id"] for r in retrieval.bm25_topk(spark, str(compare.FOLDER)).collect()} == every

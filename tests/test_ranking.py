@@ -153,6 +153,28 @@ def test_bm25_in_blocks_and_rounds(spark, postings):
             assert [(d, n, s) for n, d, s in rows] == [x for x in want if (id_, x[0]) not in without][:k]
 
 
+@pytest.mark.parametrize("postings, pairs", [(40, 30), (10_000, 1_000_000)])
+def test_bm25_searches_common_terms_once_for_all_their_queries(spark, monkeypatch, postings, pairs):
+    """Questions of a few wordings with names of their own, some with many excluded documents; ties, and none in common."""
+    monkeypatch.setattr(ranking, "PAIRS", pairs)
+    rng = random.Random(13)
+    words, names = [f"w{i}" for i in range(12)], [f"n{i}" for i in range(80)]
+    docs = [(f"d{i}", " ".join(rng.choices(words, k=rng.randint(0, 8)) + rng.sample(names, rng.randint(0, 2))), i * 2) for i in range(300)]
+    wordings = [" ".join(rng.choices(words, k=3)) for _ in range(5)] + ["", "zz"]
+    queries = [(f"q{i}", f"{rng.choice(wordings)} {' '.join(rng.sample(names, rng.randint(0, 3)))}") for i in range(90)]
+    banned = [(q, f"d{rng.randint(0, 299)}") for q, _ in queries for _ in range(6)] + [("q1", f"d{i}") for i in range(250)]
+    index = ranking.BM25(postings=postings, round_size=40, sample=100, often=15).index(spark.createDataFrame(docs, DOCS).repartition(3))
+    asked = spark.createDataFrame(queries, QUERIES)
+    assert index._parts(asked.withColumnRenamed("id", "query_id")).select("part").distinct().count() < 60
+    one = index.rank(asked, 6).collect()
+    other = index.rank(asked, 4, excluded=spark.createDataFrame(banned, "query_id string, doc_id string")).collect()
+    for id_, text in queries:
+        want = bm25_by_hand(docs, text, len(docs))
+        for got, k, without in ((one, 6, ()), (other, 4, banned)):
+            rows = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["query_id"] == id_)
+            assert [(d, n, s) for n, d, s in rows] == [x for x in want if (id_, x[0]) not in without][:k]
+
+
 def test_bm25_moves_no_pairs(spark):
     """What is shuffled follows the queries' best documents, not all documents that share a word with a query."""
     docs = spark.range(3000).selectExpr("concat('d', id) as id", "concat('the note on item ', id % 1500, ' of the shop') as text", "id as pos")
