@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import mining, ranking
-from quern.operators.records import deliveries_once
 from quern.plans.common import EVAL, NUMBER, SEED, TOP_K, TRAIN, asked, documents, examples, relevant, sql_clean, sql_hash, sql_words
 from quern.runtime import Stash, table
 
@@ -33,8 +32,7 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # ids decide which examples ask, so only those are looked through for repeats, and once
-    queries = Stash(spark).put(deliveries_once(asked(table(spark, sf_dir, "eval"))).select("id", "question", "relevant_doc_ids"))
+    queries = Stash(spark).put(examples(spark, sf_dir).select("id", "question", "relevant_doc_ids"))
     return ranking.retrieval_measures(_bm25(spark, sf_dir, queries, TOP_K), relevant(queries), TOP_K)
 
 
@@ -142,7 +140,7 @@ QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_stats, bm25_common_term
 SQL = {
     "bm25_topk": f"WITH {EVAL}, {bm25_sql(_ALL, '5')} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
     "bm25_index_stats": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')} SELECT n AS n_docs, round(a, 6) AS avgdl, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, round(avg(i), 6) AS mean_idf FROM idf, st GROUP BY n, a",
-    "retrieval_metrics": f"WITH {EVAL}, {bm25_sql(_ASKED, '5')}, " + _measures_sql(f"SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM ev WHERE {NUMBER} % 20 = 0"),
+    "retrieval_metrics": f"WITH {EVAL}, {bm25_sql(_ALL, '5')}, " + _measures_sql(f"SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM ev"),
     "bm25_common_terms": f"""WITH documents AS (SELECT 'n' || n_nationkey AS id, CAST(n_nationkey AS BIGINT) AS doc_id, 'all' || CASE WHEN n_nationkey % 5 <> 0 THEN ' most' ELSE '' END || CASE WHEN n_nationkey % 3 <> 0 THEN ' many' ELSE '' END || CASE WHEN n_nationkey % 2 = 0 THEN ' half half' ELSE '' END AS text FROM nation),
         ask AS (SELECT * FROM (VALUES ('a', 'all'), ('m', 'most many most'), ('h', 'half zz'), ('z', 'zz'), ('e', '')) v(id, question)), {bm25_sql("SELECT id, question FROM ask", "12")}
         SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r""",

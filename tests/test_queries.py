@@ -4,6 +4,7 @@ import pytest
 
 import compare
 from quern.plans import registry, retrieval
+from quern.plans.common import examples, relevant
 from quern.runtime import shared_folder, table
 
 pytestmark = pytest.mark.skipif(not compare.FOLDER.exists(), reason="no test tables here")
@@ -34,3 +35,8 @@ def test_retrieval_metrics_keep_neither_index_nor_examples(spark):
 def test_bm25_topk_ranks_every_example(spark):
     every = {r["id"] for r in table(spark, str(compare.FOLDER), "eval").where("id is not null").collect()}
     assert {r["query_id"] for r in retrieval.bm25_topk(spark, str(compare.FOLDER)).collect()} == every
+
+
+def test_retrieval_metrics_evaluate_every_example_with_references(spark):
+    every = relevant(examples(spark, str(compare.FOLDER))).select("query_id").distinct().count()
+    assert retrieval.retrieval_metrics(spark, str(compare.FOLDER)).first()["evaluated"] == every > 20
