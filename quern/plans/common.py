@@ -11,8 +11,6 @@ from quern.runtime import table
 
 SEED = 42
 TOP_K = 5
-#: Searches take as queries every row whose number is divisible by this.
-EVERY = 20
 
 BLANKS = "(chr(32) || chr(9) || chr(13) || chr(10))"
 EVAL = "ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM eval WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -59,10 +57,6 @@ def examples(spark: SparkSession, sf_dir: str, name: str = "eval") -> DataFrame:
     return deliveries_once(table(spark, sf_dir, name))
 
 
-def asked(rows: DataFrame) -> DataFrame:
-    return rows.where(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % EVERY == 0)
-
-
 def relevant(rows: DataFrame) -> DataFrame:
     """(query_id, doc_id) of the examples' cleaned references."""
     return rows.select(F.col("id").alias("query_id"), F.explode(clean_ids(F.col("relevant_doc_ids"))).alias("doc_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import mining, ranking
-from quern.plans.common import EVAL, NUMBER, SEED, TOP_K, TRAIN, asked, documents, examples, relevant, sql_clean, sql_hash, sql_words
+from quern.plans.common import EVAL, NUMBER, SEED, TOP_K, TRAIN, documents, examples, relevant, sql_clean, sql_hash, sql_words
 from quern.runtime import Stash, table
 
 
@@ -75,8 +75,8 @@ def bm25_common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = asked(examples(spark, sf_dir, "train_qa"))
-    return _rounded(ranking.BM25().index(documents(spark, sf_dir)).rank(queries, 2, excluded=relevant(queries)))
+    queries = examples(spark, sf_dir, "train_qa")
+    return _rounded(_bm25(spark, sf_dir, queries, 2, relevant(queries)))
 
 
 def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY roun
 
 _ALL = "SELECT id, question FROM ev"
 _ASKED = f"SELECT id, question FROM ev WHERE {NUMBER} % 20 = 0"
-_ASKED_TRAIN = f"SELECT id, question FROM tr WHERE {NUMBER} % 20 = 0"
+_ALL_TRAIN = "SELECT id, question FROM tr"
 
 
 def _measures_sql(relevant: str) -> str:
@@ -148,7 +148,7 @@ SQL = {
     "dense_topk": f"WITH {_DENSE} SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM r",
     "dense_label_metrics": f"WITH {_DENSE}, " + _measures_sql("SELECT q.id AS qid, v.id FROM v q JOIN v ON q.label = v.label AND q.id <> v.id AND q.id % 20 = 0"),
     "hard_negatives": f"""WITH {TRAIN}, rel AS (SELECT DISTINCT id AS qid, unnest({sql_clean('relevant_doc_ids')}) AS id FROM tr),
-        {bm25_sql(_ASKED_TRAIN, '(SELECT count(*) FROM documents)')},
+        {bm25_sql(_ALL_TRAIN, '(SELECT count(*) FROM documents)')},
         h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM r ANTI JOIN rel ON rel.qid = r.qid AND rel.id = r.id)
         SELECT qid AS query_id, id AS doc_id, rank, round(s, 6) AS score FROM h WHERE nth <= 2""",
     "random_negatives": f"WITH {_RANDOM} SELECT qid AS query_id, did AS doc_id, nth FROM neg",

@@ -40,3 +40,8 @@ def test_bm25_topk_ranks_every_example(spark):
 def test_retrieval_metrics_evaluate_every_example_with_references(spark):
     every = relevant(examples(spark, str(compare.FOLDER))).select("query_id").distinct().count()
     assert retrieval.retrieval_metrics(spark, str(compare.FOLDER)).first()["evaluated"] == every > 20
+
+
+def test_hard_negatives_are_there_for_every_training_example(spark):
+    every = {r["id"] for r in examples(spark, str(compare.FOLDER), "train_qa").select("id").collect()}
+    assert {r["query_id"] for r in retrieval.hard_negatives(spark, str(compare.FOLDER)).collect()} == every
