@@ -170,6 +170,35 @@ def test_overlaps_of_short_and_repetitive_questions(spark):
     assert found == brute_overlaps(evals, trains) and ("e", "t") in found
 
 
+def test_overlaps_meet_over_pairs_of_rare_sequences(spark):
+    """Similar texts meet, whatever differs; texts of one wording with other names mostly don't, however many there are."""
+    rng = random.Random(12)
+    name = lambda k: "".join(rng.choice("bdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(k))
+    asked = [f"how many frozen layers may {name(5)} {rng.randint(1000, 99999)}{name(1)} pass to {name(4)} under heavy load" for _ in range(600)]
+    near = []
+    for text in asked[:200]:
+        q = list(text)
+        for _ in range(rng.randint(0, 4)):
+            q[rng.randrange(len(q))] = rng.choice("xyz ")
+        near.append(overlaps.normal("".join(q)))
+    rows = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate([*asked, *near])], "digest binary, norm string")
+    least = Fraction("0.75")
+    table = spark.sparkContext.broadcast(overlaps._frequencies(rows))
+    posted = overlaps._posted(rows, table, least).toArrow()
+    keys, owner = overlaps._meeting(posted.column("keys").combine_chunks(), posted.column("n").to_numpy(), least)
+    texts, brought = posted.column("norm").to_pylist(), [set(keys[owner == i].tolist()) for i in range(len(rows.collect()))]
+    met = similar = 0
+    for i in range(600):
+        for j in range(600, 800):
+            x, y = overlaps.grams(texts[i]), overlaps.grams(texts[j])
+            meets = bool(brought[i] & brought[j])
+            met += meets
+            if 4 * len(x & y) >= 3 * len(x | y):
+                similar += 1
+                assert meets
+    assert similar > 100 and met < 0.5 * 600 * 200
+
+
 def test_overlaps_in_rounds_move_no_candidates(spark, monkeypatch):
     """Questions of one template all meet; several rounds find the same pairs, and only pairs that are similar are written."""
     rng = random.Random(9)
